@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontam, line_dedup, quality
 from .common import read_documents
 
 
@@ -14,8 +14,21 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(read_documents(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.query(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.SQL,
+    "op5_decontamination": decontam.SQL,
+}
