@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, line_dedup, quality
+from . import decontam, fingerprint, langid, line_dedup, minhash, quality
 from .common import read_documents
 
 
@@ -22,6 +22,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.query(read_documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(read_documents(spark, sf_dir))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -41,4 +46,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.SQL,
     "op5_decontamination": decontam.SQL,
+    "op6_minhash": minhash.SQL,
 }
