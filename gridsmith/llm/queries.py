@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, line_dedup, minhash, quality
+from . import decontam, fingerprint, langid, line_dedup, minhash, pieces, quality
 from .common import read_documents
 
 
@@ -30,6 +30,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(read_documents(spark, sf_dir))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.query(read_documents(spark, sf_dir))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.query(read_documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
+    "op9_pieces": op9_pieces,
     "op10_fingerprints": op10_fingerprints,
 }
 
