@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, line_dedup, minhash, pieces, quality, suffix_dedup
+from . import decontam, fingerprint, langid, line_dedup, lm, minhash, pieces, quality, suffix_dedup
 from .common import read_documents
 
 
@@ -34,6 +34,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.query(read_documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.query(read_documents(spark, sf_dir))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.query(read_documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_minhash": op6_minhash,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_pieces": op9_pieces,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -57,4 +62,5 @@ SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.SQL,
     "op5_decontamination": decontam.SQL,
     "op6_minhash": minhash.SQL,
+    "op8_lm_scoring": lm.SQL,
 }
