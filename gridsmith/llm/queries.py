@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, line_dedup, lm, minhash, pieces, quality, suffix_dedup
+from . import chat, decontam, fingerprint, langid, line_dedup, lm, minhash, pieces, quality, suffix_dedup
 from .common import read_documents
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.query(read_documents(spark, sf_dir))
 
 
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(read_documents(spark, sf_dir, "conversations"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.query(read_documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_chat_preferences": op3_chat_preferences,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_minhash": op6_minhash,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_chat_preferences": chat.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op5_decontamination": decontam.SQL,
     "op6_minhash": minhash.SQL,
