@@ -30,6 +30,7 @@ from .common import map_texts
 SIGN = "▁"
 #: A unit of more bytes is cut, between characters.
 MOST_BYTES = 512
+HIGH = np.uint64(42)
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -43,6 +44,8 @@ class Settings:
 @dataclass(frozen=True)
 class Vocabulary:
     hashes: np.ndarray  # of the pieces' bytes, ascending
+    heads: np.ndarray  # the first piece for each value of a hash's high bits, -1 for none
+    most: int  # pieces that share their high bits at most
     ids: np.ndarray
     weights: np.ndarray  # logarithmic
     lengths: tuple[int, ...]  # in bytes, of any piece
@@ -76,7 +79,22 @@ def load(s: Settings = Settings()) -> Vocabulary:
     h = K.spans(K.prefix_sums(np.frombuffer(b"".join(found), np.uint8)), end - size, end)
     order = np.argsort(h)
     ids, weights = (np.array([v[k] for v in found.values()])[order] for k in (0, 1))
-    return Vocabulary(h[order], ids.astype(np.int64), weights.astype(float), tuple(sorted(set(size.tolist()))), byte_ids, tuple(texts))
+    h = h[order]
+    high, first, many = np.unique((h >> HIGH).astype(np.int64), return_index=True, return_counts=True)
+    heads = np.full(1 << (64 - int(HIGH)), -1, np.int32)
+    heads[high] = first
+    return Vocabulary(h, heads, int(many.max()), ids.astype(np.int64), weights.astype(float), tuple(sorted(set(size.tolist()))), byte_ids, tuple(texts))
+
+
+def find(v: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the hashes are pieces', the pieces' numbers)."""
+    k = v.heads[(h >> HIGH).astype(np.int64)]
+    at = np.flatnonzero(k >= 0)
+    k, h = k[at].astype(np.int64), h[at]
+    for _ in range(v.most - 1):
+        k += (v.hashes[k] != h) & (k + 1 < len(v.hashes))
+    same = v.hashes[k] == h
+    return at[same], k[same]
 
 
 def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,18 +131,16 @@ def lattices(v: Vocabulary, x: np.ndarray, start: np.ndarray) -> Lattices:
     sums = K.prefix_sums(x)
     lead = (x & 0xC0) != 0x80
     of_char = np.maximum.accumulate(np.where(lead, np.arange(n), 0)) if n else base
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(v.hashes >> np.uint64(44)).astype(np.int64)] = True
     ends, froms, ids, weights = [], [], [], []
     known = np.zeros(n, bool)  # bytes whose character is a piece by itself, at its last byte
+    depth = np.arange(n) - base
+    far = np.arange(n)
     for size in v.lengths:
-        e = np.flatnonzero(np.arange(n) - base >= size - 1)
-        h = K.spans(sums, e - size + 1, e + 1)
-        on = maybe[(h >> np.uint64(44)).astype(np.int64)]
-        e, h = e[on], h[on]
-        k = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-        on = v.hashes[k] == h
-        e, k = e[on], k[on]
+        far = far[depth[far] >= size - 1]
+        if not len(far):
+            break
+        which, k = find(v, K.spans(sums, far - (size - 1), far + 1))
+        e = far[which]
         known[e[of_char[e] == e - size + 1]] = True
         ends.append(e)
         froms.append(e - size)
@@ -138,9 +154,12 @@ def lattices(v: Vocabulary, x: np.ndarray, start: np.ndarray) -> Lattices:
     ids.append(v.byte_ids[x[e]])
     weights.append(np.full(len(e), -8.0))
     end, back, piece, w = (np.concatenate(c) for c in (ends, froms, ids, weights))
-    back = np.where(back < base[end], -1, back)
+    # Keys of sorts are all different, so that every machine sorts alike; a node has one edge of each size.
+    size = np.minimum(end - back, 1023)
     depth = end - base[end]
-    order = np.lexsort((end, depth))
+    back = np.where(back < base[end], -1, back)
+    order = np.argsort((depth * n + end) << 10 | size)
+    by_end = (end << 10 | size)[order]
     end, back, piece, w, depth = end[order], back[order], piece[order], w[order], depth[order]
     total, chance = np.zeros(n), np.zeros(len(end))
     bounds = np.searchsorted(depth, np.arange(depth[-1] + 2)) if len(depth) else np.zeros(1, np.int64)
@@ -157,7 +176,7 @@ def lattices(v: Vocabulary, x: np.ndarray, start: np.ndarray) -> Lattices:
         whole = run[np.append(new[1:], b - a) - 1]
         total[end[a:b][new]] = top + np.log(whole)
         chance[a:b] = run / np.repeat(whole, many)
-    order = np.argsort(end, kind="stable")
+    order = np.argsort(by_end)
     end = end[order]
     return Lattices(start[1:] - 1, end + chance[order] * (1 - 1e-9), back[order], piece[order], np.searchsorted(end, np.arange(n + 1)))
 
@@ -191,7 +210,9 @@ def sample(v: Vocabulary, data: np.ndarray, at: np.ndarray, row_keys: np.ndarray
     n_units = len(start) - 1
     row = np.searchsorted(first, np.arange(n_units), "right") - 1
     salt = K.mix(row_keys[row] ^ K.mix((np.arange(n_units) - first[row]).astype(np.uint64)))
-    who, node, got, draw = np.arange(n_units), lat.last[number], [], 0
+    # In the order of their texts, units look up places close to each other.
+    who = np.argsort(number * n_units + np.arange(n_units))
+    node, got, draw = lat.last[number[who]], [], 0
     while len(who):
         e = np.searchsorted(lat.key, node + uniform(salt[who], draw) * (1 - 1e-9), "right")
         e = np.minimum(np.maximum(e, lat.first[node]), lat.first[node + 1] - 1)
