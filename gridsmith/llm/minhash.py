@@ -8,8 +8,9 @@ with an equal band share a bucket.
 Links are found in two rounds. First each class is compared with one class only: of the least members of its buckets, the one
 with which it shares most. The links found join classes into groups. Then, in buckets that still hold several groups, all pairs
 of classes of different groups are compared by signature, in blocks of `block` members, and those that may be linked on their
-full sets. Pairs within a group need no comparison, as they can't change it. So no pair that shares a bucket is left out, and a
-bucket of many near copies costs a comparison for each copy, not for each pair.
+full sets. Pairs within a group need no comparison, as they can't change it, so no pair that shares a bucket is left out. Of buckets
+of up to `small` classes, the pairs to verify are joined to their sets. To larger buckets the sets are brought instead: a task
+verifies a block against a block, joins groups as it goes, and gives out the links that join groups, at most one for each class.
 
 A null text, or one without words, has no set: n_shingles 0, component_id its doc_id, kept. Rows of one doc_id with other texts
 are told apart by their sets. A row with a null doc_id takes part, but isn't kept where its group has an id; a group without
@@ -45,6 +46,7 @@ class Settings:
     #: Signatures whose likeness is below the threshold by so many standard deviations are not verified.
     deviations: float = 5.0
     block: int = 4_096
+    small: int = 16
     #: Size of the filter that tells which documents' sets are needed; it spares work and decides nothing.
     filter_bytes: int = 8 << 20
 
@@ -177,29 +179,62 @@ def verify(pairs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def rest_pairs(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of different groups in one bucket whose signatures may be of linked classes, for (bucket, node, root, _sig)."""
+def least_likeness(s: Settings) -> float:
     t = s.percent / 100
-    least = t - s.deviations * math.sqrt(t * (1 - t) / (s.bands * s.rows))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket", F.ceil(F.col("n") / s.block).cast("int").alias("c"))
+    return t - s.deviations * math.sqrt(t * (1 - t) / (s.bands * s.rows))
+
+
+def small_pairs(members: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of different groups in one small bucket whose signatures may be of linked classes, for (bucket, node, root, _sig)."""
+    least = least_likeness(s)
+
+    def run(table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table["_sig"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
+        node, root = table["node"].to_pylist(), table["root"].to_pylist()
+        pairs = [(max(node[p], node[q]), min(node[p], node[q])) for p in range(len(node)) for q in range(p) if root[p] != root[q] and (sig[p] == sig[q]).mean() >= least]
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([x for _, x in pairs], pa.binary())})
+
+    return members.groupBy("bucket").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def block_links(members: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that join groups in large buckets, for (bucket, node, root, _sig, n: the bucket's size)."""
+    least, percent = least_likeness(s), s.percent
+    blocks = F.ceil(F.col("n") / s.block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("c")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = members.join(sizes, "bucket").withColumn("own", own).withColumn("cell", F.explode(cells)).select("bucket", "cell.i", "cell.j", "own", "node", "root", "_sig")
+    cells = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    dealt = members.withColumn("c", blocks).withColumn("own", own).withColumn("cell", F.explode(cells)).join(items, "node").select("bucket", "cell.i", "cell.j", "own", "node", "root", "_sig", "items")
 
     def run(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["_sig"].to_pylist()), np.uint32).reshape(table.num_rows, -1)
-        node, root, own = (np.array(table[c].to_pylist(), object) for c in ("node", "root", "own"))
-        _, group = np.unique(root.astype("S16"), return_inverse=True)
+        node, own = table["node"].to_pylist(), np.array(table["own"].to_pylist())
+        _, group = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
+        parts = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        size = np.array([len(x) for x in parts])
+        at, flat = np.concatenate([[0], np.cumsum(size)]), np.concatenate(parts)
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
-        for p in left:
+        for p in left.tolist():
             q = right[(group[right] != group[p]) & ((right > p) if i == j else True)]
-            if len(q):
-                q = q[(sig[q] == sig[p]).mean(axis=1) >= least]
-                a += [max(node[p], node[k]) for k in q]
-                b += [min(node[p], node[k]) for k in q]
+            q = q[(sig[q] == sig[p]).mean(axis=1) >= least] if len(q) else q
+            # The likeliest first, in growing runs: most classes are joined by the first.
+            q = q[np.argsort(-(sig[q] == sig[p]).sum(axis=1), kind="stable")] if len(q) else q
+            step = 32
+            while len(q):
+                now, q = q[:step], q[step:]
+                step *= 4
+                n = size[now]
+                ends = np.cumsum(n)
+                values = flat[np.repeat(at[now] - (ends - n), n) + np.arange(ends[-1])]
+                k = np.minimum(np.searchsorted(parts[p], values), size[p] - 1)
+                both = np.add.reduceat((parts[p][k] == values).astype(np.int64), ends - n)
+                for x in now[100 * both >= percent * (n + size[p] - both)].tolist():
+                    if group[x] != group[p]:
+                        a.append(max(node[p], node[x]))
+                        b.append(min(node[p], node[x]))
+                        group[group == group[x]] = group[p]
+                q = q[group[q] != group[p]]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
@@ -227,9 +262,10 @@ def classes_of(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     groups = components(links)
 
     grouped = members.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    left = grouped.join(mixed, "bucket").join(nodes.select("node", "_sig"), "node")
-    more = write_table(verify(rest_pairs(left, s), items, s), "links")
+    mixed = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("bucket", "n")
+    left = write_table(grouped.join(mixed, "bucket"), "mixed").join(nodes.select("node", "_sig"), "node")
+    small = verify(small_pairs(left.filter(F.col("n") <= s.small), s), items, s)
+    more = write_table(small.unionByName(block_links(left.filter(F.col("n") > s.small), items, s)), "links")
     if not more.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
