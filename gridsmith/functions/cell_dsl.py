@@ -19,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .parsed import NO_ERROR, CellColumns, ParsedExpr, Parser, as_text
+from .parsed import NO_ERROR, CellColumns, ParsedExpr, Parser, as_text, type_of
 
 _NONE = object()
 
@@ -57,7 +57,7 @@ class CellDSL:
     """Rules of one vocabulary; returns is the type of what they result in."""
 
     def __init__(self, returns: T.DataType | str = "string"):
-        self.returns = T.StructType.fromDDL(f"v {returns}")["v"].dataType if isinstance(returns, str) else returns
+        self.returns = type_of(returns)
         self.rules: list[Rule] = []
 
     def _add(self, kind: str, match: Any, fields: Any, to: Any):
@@ -181,7 +181,7 @@ class CellDSLChain:
             return ParsedExpr(value, error, kind, code)
 
         native = all(r.to is not _NONE for p in self.parts for r in p.rules)
-        return Parser("cell_dsl", build, "cell_dsl()", native=native)
+        return Parser("cell_dsl", build, "cell_dsl()", native=native, kind=kind)
 
 
 def compose_cell_dsls(*parts: CellDSL) -> CellDSLChain:

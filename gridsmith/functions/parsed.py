@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -35,6 +36,27 @@ class CellColumns:
     user_data: Any = None
 
 
+NAMED: dict[str, T.DataType] = {
+    "string": T.StringType(), "int": T.IntegerType(), "integer": T.IntegerType(), "bigint": T.LongType(), "long": T.LongType(),
+    "smallint": T.ShortType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "date": T.DateType(),
+    "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "binary": T.BinaryType(),
+}
+
+
+def type_of(x: T.DataType | str) -> T.DataType:
+    """A type by its SQL name; plain names, decimals and arrays are known without a session."""
+    if isinstance(x, T.DataType):
+        return x
+    name = x.strip().lower()
+    if name in NAMED:
+        return NAMED[name]
+    if name.startswith("array<") and name.endswith(">"):
+        return T.ArrayType(type_of(name[6:-1]))
+    if m := re.fullmatch(r"decimal\((\d+)\s*,\s*(\d+)\)", name):
+        return T.DecimalType(int(m[1]), int(m[2]))
+    return T.StructType.fromDDL(f"v {x}")["v"].dataType
+
+
 NO_ERROR = lambda: F.lit(None).cast("string")
 
 
@@ -58,13 +80,18 @@ class Parser:
     description: str = ""
     decode: Callable[[Any], Any] | None = field(default=None, repr=False)
     native: bool = True
+    #: The type of its values, or a function to it from the type of what it is given; known without a session.
+    kind: Any = T.StringType()
+
+    def out(self, dtype: T.DataType) -> T.DataType:
+        return self.kind if isinstance(self.kind, T.DataType) else self.kind(dtype)
 
     def apply(self, c: Column, dtype: T.DataType | None = None, cell: CellColumns | None = None) -> ParsedExpr:
         return self.build(c, dtype or T.StringType(), cell)
 
     @property
     def dtype(self) -> T.DataType:
-        return self.build(F.lit(""), T.StringType(), None).dtype
+        return self.out(T.StringType())
 
 
 def as_text(c: Column, dtype: T.DataType) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import strptime
-from .parsed import NO_ERROR, CellColumns, ParsedExpr, Parser, as_text, fail_unless, quoted
+from .parsed import NO_ERROR, CellColumns, ParsedExpr, Parser, as_text, fail_unless, quoted, type_of
 
 #: White space as Python strips it; Java's Unicode class lacks the four separators.
 WHITE = "[\\s\\x1c-\\x1f]"
@@ -25,6 +25,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)\\A{WHITE}+|{WHITE}+\\z", "")
 
 
+def bare(c: Column) -> Column:
+    """Text of a number without outer white space; numbers allow none of the ASCII separators."""
+    return F.regexp_replace(c, "(?U)\\A\\s+|\\s+\\z", "")
+
+
 def _stripped(c: Column, on: bool) -> Column:
     return strip(c) if on else c
 
@@ -62,7 +67,7 @@ def integer(*, base: int = 10) -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        t = strip(c)
+        t = bare(c)
         prefixed = {2: "(?:0[bB]_?)?", 8: "(?:0[oO]_?)?", 16: "(?:0[xX]_?)?"}
         if base:
             ok, value = in_base(t, base, prefixed.get(base, ""))
@@ -76,7 +81,7 @@ def integer(*, base: int = 10) -> Parser:
         message = F.concat(F.lit(f"invalid literal for int() with base {base}: "), quoted(c))
         return fail_unless(ok & value.isNotNull(), value, message, long, c)
 
-    return Parser("integer", build, f"integer(base={base})")
+    return Parser("integer", build, f"integer(base={base})", kind=long)
 
 
 FLOAT = r"(?i)\A[+-]?(?:nan|inf|infinity|(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:e[+-]?[0-9]+(?:_[0-9]+)*)?)\z"
@@ -87,11 +92,11 @@ def floating() -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        t = strip(c)
+        t = bare(c)
         value = F.replace(t, F.lit("_"), F.lit("")).try_cast("double")
         return fail_unless(t.rlike(FLOAT) & value.isNotNull(), value, F.concat(F.lit("could not convert string to float: "), quoted(c)), T.DoubleType(), c)
 
-    return Parser("floating", build, "floating()")
+    return Parser("floating", build, "floating()", kind=T.DoubleType())
 
 
 def decimal(precision: int = 38, scale: int = 18) -> Parser:
@@ -102,7 +107,7 @@ def decimal(precision: int = 38, scale: int = 18) -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        t = F.replace(strip(c), F.lit("_"), F.lit(""))
+        t = F.replace(bare(c), F.lit("_"), F.lit(""))
         shape = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?\z"
         fraction = F.regexp_replace(F.regexp_extract(t, r"\.([0-9]*)", 1), "0+$", "")
         power = F.coalesce(F.regexp_extract(t, r"[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
@@ -111,7 +116,7 @@ def decimal(precision: int = 38, scale: int = 18) -> Parser:
         value = t.try_cast(kind)
         return fail_unless(t.rlike(shape) & (places <= scale) & value.isNotNull(), value, F.concat(F.lit("not an exact decimal: "), quoted(c)), kind, c)
 
-    return Parser("decimal", build, f"decimal({precision}, {scale})")
+    return Parser("decimal", build, f"decimal({precision}, {scale})", kind=kind)
 
 
 def _temporal_format(format: Any) -> str:
@@ -134,7 +139,7 @@ def date(*, format: str = "%Y-%m-%d") -> Parser:
         value = strptime.to_date(parts)
         return fail_unless(ok & value.isNotNull(), value, F.concat(F.lit("time data "), quoted(c), F.lit(f" does not match format {form!r}")), T.DateType(), c)
 
-    return Parser("date", build, f"date(format={form!r})")
+    return Parser("date", build, f"date(format={form!r})", kind=T.DateType())
 
 
 def datetime(*, format: str = "%Y-%m-%dT%H:%M:%S") -> Parser:
@@ -151,7 +156,7 @@ def datetime(*, format: str = "%Y-%m-%dT%H:%M:%S") -> Parser:
         value = strptime.to_instant(parts) if aware else strptime.to_local(parts)
         return fail_unless(ok & value.isNotNull(), value, F.concat(F.lit("time data "), quoted(c), F.lit(f" does not match format {form!r}")), kind, c)
 
-    return Parser("datetime", build, f"datetime(format={form!r})")
+    return Parser("datetime", build, f"datetime(format={form!r})", kind=kind)
 
 
 def _tokens(values: Any, name: str, fold: bool) -> list[str]:
@@ -177,7 +182,7 @@ def boolean(*, true_values: Any = ("true",), false_values: Any = ("false",), cas
         t = c if case_sensitive else F.lower(c)
         return fail_unless(t.isin(yes + no), t.isin(yes), F.lit(f"Expected one of {expected}"), T.BooleanType(), c)
 
-    return Parser("boolean", build, f"boolean(true_values={sorted(set(yes))}, false_values={sorted(set(no))}, case_sensitive={case_sensitive})")
+    return Parser("boolean", build, f"boolean(true_values={sorted(set(yes))}, false_values={sorted(set(no))}, case_sensitive={case_sensitive})", kind=T.BooleanType())
 
 
 def _lookup(t: Column, table: Mapping[str, Any], dtype: T.DataType) -> tuple[Column, Column]:
@@ -219,7 +224,7 @@ def split(separator: str = ",", *, strip_items: bool = True, keep_empty: bool =
             parts = F.filter(parts, lambda x: x != "")
         return ParsedExpr(parts, NO_ERROR(), T.ArrayType(T.StringType()))
 
-    return Parser("split", build, f"split({separator!r}, strip_items={strip_items}, keep_empty={keep_empty})", decode=lambda v: None if v is None else list(v))
+    return Parser("split", build, f"split({separator!r}, strip_items={strip_items}, keep_empty={keep_empty})", decode=lambda v: None if v is None else list(v), kind=T.ArrayType(T.StringType()))
 
 
 def spark_type(values: Any) -> T.DataType:
@@ -245,7 +250,7 @@ def map_value(values: Mapping[str, Any], *, case_sensitive: bool = True) -> Pars
         ok, value = _lookup(c if case_sensitive else F.lower(c), table, kind)
         return fail_unless(ok, value, F.concat(F.lit("No mapped value for "), quoted(c)), kind, c)
 
-    return Parser("map_value", build, f"map_value({dict(values)!r}, case_sensitive={case_sensitive})")
+    return Parser("map_value", build, f"map_value({dict(values)!r}, case_sensitive={case_sensitive})", kind=kind)
 
 
 def to_parser(p: Any) -> Parser:
@@ -274,16 +279,23 @@ def compose(*parsers: Any) -> Parser:
             out = nxt
         return ParsedExpr(F.when(error.isNull(), out.value), error, out.dtype, code)
 
-    return Parser("compose", build, f"compose({', '.join(p.description or p.name for p in steps)})", decode=steps[-1].decode, native=all(p.native for p in steps))
+    def kind(dtype):
+        for p in steps:
+            dtype = p.out(dtype)
+        return dtype
+
+    return Parser("compose", build, f"compose({', '.join(p.description or p.name for p in steps)})", decode=steps[-1].decode, native=all(p.native for p in steps), kind=kind)
 
 
 def each(parser: Any) -> Parser:
     """A parser for every item of a list; the first item that fails is reported."""
     inner = to_parser(parser)
 
+    def kind(dtype):
+        return T.ArrayType(inner.out(dtype.elementType if isinstance(dtype, T.ArrayType) else T.StringType()))
+
     def build(c, dtype, cell):
-        item = inner.apply(F.lit(None).cast("string"), T.StringType(), None)
-        out = T.ArrayType(item.dtype)
+        out = kind(dtype)
         if not isinstance(dtype, T.ArrayType):
             return ParsedExpr(F.lit(None).cast(out), F.when(c.isNotNull(), F.lit("each() needs a list of items")), out)
         if not inner.native:
@@ -292,7 +304,7 @@ def each(parser: Any) -> Parser:
         error = F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0))
         return ParsedExpr(F.when(error.isNull(), F.transform(c, lambda x: inner.apply(x, dtype.elementType, cell).value)), error, out)
 
-    return Parser("each", build, f"each({inner.description or inner.name})", decode=(lambda v: None if v is None else [inner.decode(x) for x in v]) if inner.decode else list, native=inner.native)
+    return Parser("each", build, f"each({inner.description or inner.name})", decode=(lambda v: None if v is None else [inner.decode(x) for x in v]) if inner.decode else list, native=inner.native, kind=kind)
 
 
 def optional(parser: Any, *, none_values: Any = ("none", "null"), case_sensitive: bool = False) -> Parser:
@@ -305,7 +317,7 @@ def optional(parser: Any, *, none_values: Any = ("none", "null"), case_sensitive
         got = inner.apply(c, dtype, cell)
         return ParsedExpr(F.when(~none, got.value), F.when(~none, got.error), got.dtype, got.code)
 
-    return Parser("optional", build, f"optional({inner.description or inner.name}, none_values={sorted(set(tokens))}, case_sensitive={case_sensitive})", decode=inner.decode, native=inner.native)
+    return Parser("optional", build, f"optional({inner.description or inner.name}, none_values={sorted(set(tokens))}, case_sensitive={case_sensitive})", decode=inner.decode, native=inner.native, kind=inner.out)
 
 
 def enum(kind: type[Enum]) -> Parser:
@@ -331,7 +343,7 @@ def literal(*values: str) -> Parser:
 
 
 def identity() -> Parser:
-    return Parser("identity", lambda c, dtype, cell: ParsedExpr(c, NO_ERROR(), dtype), "identity()")
+    return Parser("identity", lambda c, dtype, cell: ParsedExpr(c, NO_ERROR(), dtype), "identity()", kind=lambda dtype: dtype)
 
 
 def custom(function: Callable[[Any, Any], Any], *, returns: T.DataType | str = "string", name: str | None = None) -> Parser:
@@ -339,7 +351,7 @@ def custom(function: Callable[[Any, Any], Any], *, returns: T.DataType | str = "
 
     An exception fails the cell with its text; a TableError keeps its message and code.
     """
-    kind = T.StructType.fromDDL(f"v {returns}")["v"].dataType if isinstance(returns, str) else returns
+    kind = type_of(returns)
 
     def build(c, dtype, cell):
         if cell is None:
@@ -350,4 +362,4 @@ def custom(function: Callable[[Any, Any], Any], *, returns: T.DataType | str = "
         got = F.when(c.isNotNull(), got)
         return ParsedExpr(got["value"], got["error"], kind, got["code"])
 
-    return Parser(name or getattr(function, "__qualname__", type(function).__qualname__), build, name or getattr(function, "__qualname__", type(function).__qualname__), native=False)
+    return Parser(name or getattr(function, "__qualname__", type(function).__qualname__), build, name or getattr(function, "__qualname__", type(function).__qualname__), native=False, kind=kind)

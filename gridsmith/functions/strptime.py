@@ -94,8 +94,8 @@ def to_date(p: Parts) -> Column:
     y = F.lpad(year(p).cast("string"), 4, "0")
     if "j" in p:
         first = F.try_to_date(F.concat(y, F.lit("-01-01")), "yyyy-MM-dd")
-        day = F.date_add(first, number(p, "j", 1) - 1)
-        return F.when(F.year(day) == year(p), day)
+        # Day 366 of a shorter year is the next year's first, as it is for strptime.
+        return F.date_add(first, number(p, "j", 1) - 1)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     return F.try_to_date(F.concat(y, F.lit("-"), two(month(p)), F.lit("-"), two(number(p, "d", 1))), "yyyy-MM-dd")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from typing import Any
 
@@ -18,6 +19,11 @@ def plain(v: Any) -> Any:
     return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
 
 
+def identity(text: Any) -> Any:
+    """An id of its JSON text."""
+    return json.loads(text) if isinstance(text, str) else plain(text)
+
+
 def result_type(kind: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType()), T.StructField("code", T.StringType())])
 
@@ -45,7 +51,7 @@ def cell_udf(function: Callable[[Any, Any], Any], kind: T.DataType, cell: CellCo
         rows = []
         for r in cells.to_dict("records"):
             value = r["value"]
-            context = CellContext(name, label, plain(r["row"]), plain(r["column"]), plain(r["item_id"]), r["source_value"], r["source_uri"], data)
+            context = CellContext(name, label, plain(r["row"]), plain(r["column"]), identity(r["item_id"]), r["source_value"], r["source_uri"], data)
             rows.append((None, None, None) if value is None else guarded(lambda v=value, c=context: function(v, c), kind))
         return as_frame(rows)
 
@@ -59,7 +65,7 @@ def default_udf(function: Callable[[Any], Any], kind: T.DataType, cell: CellColu
     def run(cells: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in cells.to_dict("records"):
-            context = DefaultContext(name, label, plain(r["item_id"]), plain(r["row"]), plain(r["column"]), r["source_uri"], data)
+            context = DefaultContext(name, label, identity(r["item_id"]), plain(r["row"]), plain(r["column"]), r["source_uri"], data)
             rows.append(guarded(lambda c=context: function(c), kind))
         return as_frame(rows)
 

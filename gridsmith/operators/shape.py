@@ -153,14 +153,13 @@ def from_cells(cells: CellFrame, plan: Plan) -> RecordFrame:
         F.transform(F.filter("_labels", lambda x: F.array_position(texts, x["c"]["value"]) < x["i"]), lambda x: diag("duplicate_label", F.concat(F.lit("The label '"), x["c"]["value"], F.lit("' is used more than once")), phase=D.CONVERSION, step=0, step_ordinal=x["i"], schema=plan.name, **at(x))),
         F.transform(F.filter("_labels", lambda x: ~F.array_contains(names, x["c"]["value"])), lambda x: diag("unknown_field", F.concat(F.lit("Unknown label '"), x["c"]["value"], F.lit("'")), phase=D.CONVERSION, step=1, step_ordinal=x["i"], schema=plan.name, **at(x))),
     ]
-    for k, p in enumerate(plan.family):
-        for f in p.fields.values():
-            if f.aliases:
-                used = F.filter("_labels", lambda x, f=f: x["c"]["value"].isin(list(f.labels)))
-                several = F.size(F.array_distinct(F.transform(used, lambda x: x["c"]["value"]))) > 1
-                last = F.slice(used, -1, 1)
-                made = F.transform(last, lambda x, f=f, k=k, p=p: diag("duplicate_label", f"The field {f.name!r} is given by several labels", phase=D.CONVERSION, step=2, step_ordinal=x["i"] + k * 10_000, schema=p.name, name=f.name, **at(x)))
-                found.append(F.when(several, made).otherwise(F.array().cast(T.ArrayType(D.DIAGNOSTIC))))
+    def clash(p: Plan, f, k: int) -> Column:
+        used = F.filter("_labels", lambda x: x["c"]["value"].isin(list(f.labels)))
+        several = F.size(F.array_distinct(F.transform(used, lambda x: x["c"]["value"]))) > 1
+        made = F.transform(F.slice(used, -1, 1), lambda x: diag("duplicate_label", f"The field {f.name!r} is given by several labels", phase=D.CONVERSION, step=2, step_ordinal=x["i"] + k * 10_000, schema=p.name, name=f.name, **at(x)))
+        return F.when(several, made).otherwise(F.array().cast(T.ArrayType(D.DIAGNOSTIC)))
+
+    found += [clash(p, f, k) for k, p in enumerate(plan.family) for f in p.fields.values() if f.aliases]
     labels = head
     counts = df.groupBy("table_id").agg(F.max(rec).alias("_m"), F.max("source_uri").alias("_u"))
     labels = labels.join(counts, "table_id")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from . import annotations as A
 from .diagnostics import SchemaDefinitionError
 from .fields import Field, Reference
-from .functions.parsed import Parser
+from .functions.parsed import Parser, type_of
 from .functions.parsers import spark_type, to_parser
 
 ROW, COLUMN = "row", "column"
@@ -178,10 +178,8 @@ def compile_field(cls: type, f: Field, origin: type) -> CompiledField:
             raise fail("text would stay text, which the annotation doesn't admit; give a parser")
     if parser is not None:
         kind = parser.dtype
-    elif isinstance(f.returns, T.DataType):
-        kind = f.returns
-    elif isinstance(f.returns, str):
-        kind = T.StructType.fromDDL(f"v {f.returns}")["v"].dataType
+    elif f.returns is not None:
+        kind = type_of(f.returns)
     elif f.has_default and f.default is not None and not isinstance(f.default, (str, Enum)):
         raise fail("the default isn't text, so the field needs a parser or returns=")
     else:

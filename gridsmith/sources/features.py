@@ -232,6 +232,7 @@ class FeatureSource(DataSource):
 def read_features(paths: Any, *, step: str | None = None, scenario: str | None = None, spark: SparkSession | None = None) -> DataFrame:
     """The cells of feature files' tables, with the place of each table."""
     spark = spark or session()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FeatureSource)
     names = [str(paths)] if isinstance(paths, (str, Path)) else [str(p) for p in paths]
     reader = spark.read.format("feature").option("paths", ",".join(names))
