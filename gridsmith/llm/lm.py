@@ -76,7 +76,7 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def deal(h: np.ndarray, n: int) -> np.ndarray:
-    return (((h >> np.uint64(16)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def starts(*columns: np.ndarray) -> np.ndarray:
