@@ -110,7 +110,7 @@ def many(df: DataFrame, f: CompiledField, p: Plan, parser: Parser, keys: DataFra
     spread = spread.withColumns({"__kv": got.value, "__ke": got.error})
     looked = spread.join(keys, (F.col("_table_id") == F.col("__t")) & (F.col("__kv") == F.col("__k")), "left")
     # Gathered by record: a record's own keys, in their order.
-    back = looked.groupBy("_table_id", "_ordinal").agg(F.array_sort(F.collect_list(F.struct("__p", "__x", "__ke", "__k"))).alias("__all")).select(F.col("_table_id").alias("__rt"), F.col("_ordinal").alias("__ro"), "__all")
+    back = looked.groupBy("_table_id", "_ordinal").agg(F.sort_array(F.collect_list(F.struct("__p", "__x", "__ke", "__k"))).alias("__all")).select(F.col("_table_id").alias("__rt"), F.col("_ordinal").alias("__ro"), "__all")
     df = df.join(bad, F.col("_table_id") == F.col("__bt"), "left").join(back, (F.col("_table_id") == F.col("__rt")) & (F.col("_ordinal") == F.col("__ro")), "left")
     wrong = F.filter("__all", lambda x: x["__k"].isNull())
     made = F.transform(wrong, lambda x: failure(f, p, x["__x"], x["__ke"], k, x["__p"]))

@@ -126,8 +126,8 @@ def from_cells(cells: CellFrame, plan: Plan) -> RecordFrame:
     rec, lab = ("col_idx", "row_idx") if column_mode else ("row_idx", "col_idx")
     df = cells.df
     cell = F.struct(*(F.col(f.name) for f in CELL.fields))
-    head = df.filter(F.col(rec) == 1).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(F.col(lab).alias("i"), cell.alias("c")))).alias("_labels"))
-    body = df.filter(F.col(rec) > 1).groupBy("table_id", rec).agg(F.array_sort(F.collect_list(F.struct(F.col(lab).alias("i"), cell.alias("c")))).alias("_row_cells"), F.max("source_uri").alias("_uri"))
+    head = df.filter(F.col(rec) == 1).groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct(F.col(lab).alias("i"), cell.alias("c")))).alias("_labels"))
+    body = df.filter(F.col(rec) > 1).groupBy("table_id", rec).agg(F.sort_array(F.collect_list(F.struct(F.col(lab).alias("i"), cell.alias("c")))).alias("_row_cells"), F.max("source_uri").alias("_uri"))
     joined = body.join(head, "table_id")
     texts = F.transform("_labels", lambda x: x["c"]["value"])
     entries = F.transform(F.filter(F.arrays_zip(texts.alias("l"), F.transform("_row_cells", lambda x: x["c"]).alias("c"), F.sequence(F.lit(1), F.greatest(F.size("_labels"), F.size("_row_cells"))).alias("n")), lambda e: e["l"].isNotNull() & e["c"].isNotNull() & (F.array_position(texts, e["l"]) == e["n"])), lambda e: F.struct(e["l"], e["c"]))

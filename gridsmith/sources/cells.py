@@ -142,7 +142,7 @@ class CellFrame:
 
     def row_arrays(self) -> DataFrame:
         """(table_id, row_idx, cells): the current values of each row, in order."""
-        return self.df.groupBy("table_id", "row_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "value"))), lambda c: c["value"]).alias("cells"))
+        return self.df.groupBy("table_id", "row_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "value"))), lambda c: c["value"]).alias("cells"))
 
     def to_rows(self) -> list[list[str]]:
         return [list(r["cells"]) for r in self.row_arrays().orderBy("table_id", "row_idx").collect()]
