@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import urlsplit
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,6 +60,53 @@ def with_columns_schema(df: DataFrame, added: list[tuple[str, T.DataType]]) -> T
     return T.StructType([*fields, *(T.StructField(n, t, True) for n, t in added)])
 
 
+#: Rows of an Arrow batch at most; texts are long, and each Python worker holds a batch, its bytes and what is made of them.
+BATCH_ROWS = 1_024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches to BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function over batches, that gives back memory when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run, a function over a group's table, that gives back memory behind each group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: Any) -> DataFrame:
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run), schema)
+
+
 def map_texts(
     df: DataFrame,
     added: list[tuple[str, T.DataType]],
@@ -84,7 +133,7 @@ def map_texts(
                     cols.append(col if col.type == field.type else col.cast(field.type))
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -94,6 +143,3 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
     for lo in range(0, rows, step):
         yield batch.slice(lo, step)
 
-
-def is_local_path(path: str) -> bool:
-    return urlsplit(path).scheme in ("", "file")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_texts, slices, write_table
+from .common import arrow_map, map_texts, slices, write_table
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
     out = np.zeros(len(vocabulary), np.int64)
     if len(vocabulary):
-        for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in docs.select("text").transform(arrow_map, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
             out[r["k"]] = r["n"]
     return out
 

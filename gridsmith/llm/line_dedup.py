@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_texts, slices, write_table
+from .common import arrow_map, map_texts, slices, write_table
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def merge_filters(parts: DataFrame, n_bytes: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "twice"])
 
     out = np.zeros(n_bytes, np.uint8)
-    for r in dealt.mapInArrow(run, "block int, twice binary").toLocalIterator():
+    for r in dealt.transform(arrow_map, run, "block int, twice binary").toLocalIterator():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
     return out
 
@@ -121,7 +121,7 @@ def twice_seen(df: DataFrame, hashes, n_bytes: int) -> np.ndarray:
             r = rows[lo : lo + 256]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in r], pa.int32()), pa.array([x[1] for x in r], pa.binary()), pa.array([x[2] for x in r], pa.binary())], ["block", "once", "twice"])
 
-    return merge_filters(df.mapInArrow(run, FILTER_SCHEMA), n_bytes)
+    return merge_filters(df.transform(arrow_map, run, FILTER_SCHEMA), n_bytes)
 
 
 def lines(data: np.ndarray, at: np.ndarray, min_chars: int):
@@ -202,7 +202,7 @@ def drop_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def suspected_lines(with_text_key: bool) -> DataFrame:
         t = F.md5(F.coalesce("text", F.lit(""))) if with_text_key else F.lit(None).cast("string")
-        return docs.select("doc_id", "text", t.alias("t")).mapInArrow(suspects, schema)
+        return docs.select("doc_id", "text", t.alias("t")).transform(arrow_map, suspects, schema)
 
     repeated = write_table(
         suspected_lines(False)

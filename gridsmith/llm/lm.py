@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_texts, slices
+from .common import arrow_map, map_texts, slices, tidy_group
 
 NOT_SPACE = ~K.SPACE
 BACKOFF = 0.4
@@ -101,7 +101,7 @@ def totals(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(u[often].view(np.int64), -1)), pa.array(np.append(n[often], len(h)))], ["word", "n"])
 
     sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(s.judged * 10_000))
-    got = sample.mapInArrow(frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(1_001).collect()
+    got = sample.transform(arrow_map, frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(1_001).collect()
     words = np.sort(np.array([r["word"] for r in got if r["word"] != -1], np.int64)).view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -116,7 +116,7 @@ def totals(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray, np.ndarray]:
                     n = np.bincount(i[w[i] == h], minlength=len(w))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(w))), pa.array(np.append(len(h), n))], ["k", "n"])
 
-    found = {r["k"]: r["n"] for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    found = {r["k"]: r["n"] for r in docs.select("text").transform(arrow_map, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     total = found.pop(-1, 0)
     often = np.array([k for k, n in sorted(found.items()) if n > s.shard_pairs], np.int64)
     return total, words[often], np.array([found[k] for k in often.tolist()], np.float64)
@@ -138,12 +138,24 @@ def pair_blocks(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
     """Rows of arrays for each block and shard: first words and how many pairs each has, second words, counts and texts."""
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.append(often, np.uint64(BEFORE))))
 
+    def blocks(batches):
+        """Batches put together to blocks of about BLOCK_BYTES."""
+        held, size, rows = [], 0, 0
+        for batch in batches:
+            for part in slices(batch, BLOCK_BYTES // 4):
+                if held and (size + part.nbytes > BLOCK_BYTES or rows + part.num_rows > BLOCK):
+                    yield pa.Table.from_batches(held)
+                    held, size, rows = [], 0, 0
+                held.append(part)
+                size, rows = size + part.nbytes, rows + part.num_rows
+        if held:
+            yield pa.Table.from_batches(held)
+
     def run(batches):
         spread = sent.value
-        for batch in batches:
-            for wide in slices(batch, BLOCK_BYTES):
-                for lo in range(0, wide.num_rows, BLOCK):
-                    part = wide.slice(lo, BLOCK)
+        for table in blocks(batches):
+            for part in (table.slice(lo, BLOCK) for lo in range(0, table.num_rows, BLOCK)):
+                if part.num_rows:
                     data, at = K.utf8(part.column(0))
                     keys = b"".join(text_key(data[i:j]) for i, j in zip(at[:-1], at[1:]))
                     block = hashlib.blake2b(keys, digest_size=16).digest()
@@ -185,7 +197,7 @@ def pair_blocks(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
                         )
                     yield batch_of(rows, PAIRS)
 
-    return docs.select("text").mapInArrow(run, PAIRS_SCHEMA)
+    return docs.select("text").transform(arrow_map, run, PAIRS_SCHEMA)
 
 
 def join_pairs(shards: int, often: np.ndarray, often_counts: np.ndarray):
@@ -287,8 +299,8 @@ def scores(docs: DataFrame, s: Settings) -> DataFrame:
     """(text_key, logp) of each distinct text."""
     total, often, often_counts = totals(docs, s)
     shards = max(1, math.ceil(total / s.shard_pairs))
-    pairs = pair_blocks(docs, shards, often).groupBy("shard").applyInArrow(join_pairs(shards, often, often_counts), WORDS_SCHEMA)
-    sums = pairs.groupBy("shard").applyInArrow(join_words(total), SUMS_SCHEMA).groupBy("block").applyInArrow(sum_block, "text_key binary, logp double")
+    pairs = pair_blocks(docs, shards, often).groupBy("shard").applyInArrow(tidy_group(join_pairs(shards, often, often_counts)), WORDS_SCHEMA)
+    sums = pairs.groupBy("shard").applyInArrow(tidy_group(join_words(total)), SUMS_SCHEMA).groupBy("block").applyInArrow(tidy_group(sum_block), "text_key binary, logp double")
     return sums.groupBy("text_key").agg(F.min("logp").alias("logp"))
 
 

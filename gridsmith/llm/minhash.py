@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_texts, slices, write_table
+from .common import arrow_map, map_texts, slices, tidy_group, write_table
 from .components import components
 from .line_dedup import has, put
 
@@ -118,7 +118,7 @@ def buckets(classes: DataFrame, s: Settings) -> DataFrame:
                 h = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), s.bands)))], ["bucket", "node"])
 
-    return classes.select("node", "_sig").mapInArrow(run, "bucket long, node binary")
+    return classes.select("node", "_sig").transform(arrow_map, run, "bucket long, node binary")
 
 
 def needed_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -137,7 +137,7 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["at", "bits"])
 
     # Tasks send filters, which have a fixed size, not the classes themselves.
-    for r in nodes.select("node", "doc_id").coalesce(16).mapInArrow(run, "at long, bits binary").toLocalIterator():
+    for r in nodes.select("node", "doc_id").coalesce(16).transform(arrow_map, run, "at long, bits binary").toLocalIterator():
         bits[r["at"] : r["at"] + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     sent, n = docs.sparkSession.sparkContext.broadcast(bits), s.shingle
 
@@ -155,7 +155,7 @@ def needed_sets(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
                     found = np.flatnonzero(has(sent.value, codes(keys, [ids[lo + r] for r in rows])))
                     yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found], pa.binary()), pa.array([x[x_at[rows[k]] : x_at[rows[k] + 1]].tobytes() for k in found], pa.binary())], ["node", "items"])
 
-    got = docs.select("doc_id", "text").mapInArrow(pick, "node binary, items binary")
+    got = docs.select("doc_id", "text").transform(arrow_map, pick, "node binary, items binary")
     return got.groupBy("node").agg(F.first("items").alias("items"))
 
 
@@ -176,7 +176,7 @@ def verify(pairs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     joined = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return joined.select("a", "b", "x", "y").transform(arrow_map, run, "a binary, b binary")
 
 
 def least_likeness(s: Settings) -> float:
@@ -237,7 +237,7 @@ def block_links(members: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
                 q = q[group[q] != group[p]]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(tidy_group(run), "a binary, b binary").distinct()
 
 
 def classes_of(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
