@@ -10,8 +10,10 @@ judged on the input; matches never cross documents; texts are UTF-8 bytes, a nul
    each distinct segment is a document of a collection. Collections are shards of whole anchors.
 3. In a collection the suffixes of all documents are sorted by insertion: each round puts one symbol in front of every document's
    last suffix. Its place follows from the symbol and the place of the suffix behind it, as in a Burrows-Wheeler transform; common
-   prefixes with both neighbours follow from the least common prefix between the suffixes behind them. A symbol is 8 bytes, so a
-   segment is 8 documents, one for each shift, and a window is repeated if its suffix shares length/8 symbols with a neighbour.
+   prefixes with both neighbours follow from the least common prefix between the suffixes behind them. A symbol is a string of
+   SYMBOL bytes, told from others by a hash of 64 bits, so a segment is SYMBOL documents, one for each shift, and a window is
+   repeated if its suffix shares length/SYMBOL symbols with a neighbour. Wide symbols keep the rounds few, each of which goes
+   through the whole order so far.
    The columns of a collection are arrays in memory: shards are bounded by shard_bytes, so nothing goes to files.
 4. An anchor of more than most_segments distinct segments is cut into single windows, dealt by their content, so that no shard
    grows with the number of copies.
@@ -32,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import map_texts, slices, write_table
+from .common import arrow_map, map_texts, slices, tidy_group, write_table
 from .line_dedup import has, twice_seen
 
-SYMBOL = 8
+SYMBOL = 50
+LOW = (1 << 32) - 1
 K_BYTES = 16
 #: Bytes of a text that are looked at at once; longer texts are read in pieces that overlap by a window.
 PIECE = 1 << 20
@@ -43,7 +46,7 @@ PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bytes of a passage; a multiple of 8, more than K_BYTES.
+    #: Bytes of a passage; a multiple of SYMBOL, more than K_BYTES.
     length: int = 200
     filter_bytes: int = 16 << 20
     shard_bytes: int = 2 << 20
@@ -61,10 +64,12 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     if n < length:
         return np.zeros(0, np.uint64), none, none
     sums = K.prefix_sums(data)
-    p = np.arange(n - K_BYTES + 1)
-    h = K.spans(sums, p, p + K_BYTES)
+    m = n - K_BYTES + 1
+    h = (sums[K_BYTES:] - sums[:-K_BYTES]) * K.powers(n + 1)[1][:m]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     bits = np.uint64(max(1, int(n).bit_length()))
-    low = (h >> bits << bits) | p.astype(np.uint64)  # the place breaks ties and is found again
+    low = (h >> bits << bits) | np.arange(m, dtype=np.uint64)  # the place breaks ties and is found again
     size = 1
     while size * 2 <= w:
         low = np.minimum(low[: len(low) - size], low[size:])
@@ -73,9 +78,9 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
         low = np.minimum(low[: len(low) - (w - size)], low[w - size :])
     place = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     whole = np.zeros(len(place) + 1, bool)
-    i = np.arange(len(place))
-    row = np.searchsorted(at, i, "right") - 1
-    whole[:-1] = i + length <= at[row + 1]
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[: len(place)]
+    whole[:-1] = np.arange(length, len(place) + length) <= np.repeat(at[1:], size)[: len(place)]
     change = np.ones(len(place), bool)
     change[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~whole[:-2]
     first = np.flatnonzero(change & whole[:-1])
@@ -96,51 +101,48 @@ def pieces(data: np.ndarray, at: np.ndarray, length: int):
                 yield lo, lo + 1, data[a:b], np.array([0, b - a]), a - int(at[lo])
 
 
-def insert_columns(docs: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts all suffixes of documents, arrays of symbol numbers from 1 on, with one symbol of each document put in a round.
+def insert_columns(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts all suffixes of documents, with one symbol of each document put in a round.
 
+    Document d has the symbols, numbers from 1 on, at begin[d], begin[d] + SYMBOL and so on, size[d] of them.
     Returns, in the order of suffixes, the document, the suffix's length, and the symbols it shares with the one before, depth
     at most. Ends of documents are all different and sort before any symbol.
     """
-    size = np.array([len(d) for d in docs])
-    flat = np.concatenate(docs)
-    stop = np.cumsum(size)
-    n = len(docs)
-    symbol, behind = np.zeros(n, np.int64), np.arange(n)
-    shared, owner, length = np.zeros(n + 1, np.int16), np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    place = np.arange(n)
+    n = len(size)
+    # A suffix is its first symbol's number and the place of the suffix behind it; ends have the number 0.
+    suffix, tag = np.arange(n, dtype=np.int64), np.arange(n, dtype=np.int64) << 16
+    shared, place = np.zeros(n + 1, np.int16), np.arange(n, dtype=np.int64)
     for k in range(1, int(size.max(initial=0)) + 1):
         who = np.flatnonzero(size >= k)
-        c, x = flat[stop[who] - k], place[who]
-        order = np.lexsort((x, c))
-        who, c, x = who[order], c[order], x[order]
-        put = np.searchsorted((symbol << 32) | behind, (c << 32) | x)
-        s, m = len(symbol), len(who)
+        key = (symbols[begin[who] + SYMBOL * (size[who] - k)] << 32) | place[who]
+        order = np.argsort(key)
+        who, key = who[order], key[order]
+        put = np.searchsorted(suffix, key)
+        s, m = len(suffix), len(who)
         new = put + np.arange(m)
-        moved = np.arange(s) + np.cumsum(np.bincount(put, minlength=s + 1))[:s]
+        moved = np.cumsum(np.bincount(put, minlength=s + 1))[:s]
+        moved += np.arange(s)
 
         def merged(old, fresh, new=new, moved=moved, total=s + m):
             out = np.empty(total, old.dtype)
             out[moved], out[new] = old, fresh
             return out
 
-        old_shared = shared
-        symbol, before = merged(symbol, c), merged(behind, x)
-        owner, length = merged(owner, who), merged(length, np.full(m, k))
-        shared = np.append(merged(shared[:s], np.zeros(m, np.int16)), np.int16(0))
+        old_shared, suffix, tag = shared, merged(suffix, key), merged(tag, who << 16 | k)
+        shared = np.append(merged(shared[:s], 0), np.int16(0))
         # Common prefixes change between a new suffix and its neighbours only.
-        y = np.unique(np.concatenate([new, new + 1]))
-        y = y[(y > 0) & (y < s + m)]
-        same = symbol[y] == symbol[y - 1]
-        same &= symbol[y] > 0
+        touched = np.zeros(s + m + 1, bool)
+        touched[new] = touched[new + 1] = True
+        touched[0] = touched[s + m] = False
+        y = np.flatnonzero(touched)
+        here, ahead = suffix[y], suffix[y - 1]
+        same = (here >> 32 == ahead >> 32) & (here >> 32 > 0)
         shared[y[~same]] = 0
-        y = y[same]
-        shared[y] = np.minimum(1 + least_between(old_shared, before[y - 1] + 1, before[y] + 1), depth)
+        shared[y[same]] = np.minimum(1 + least_between(old_shared, (ahead[same] & LOW) + 1, (here[same] & LOW) + 1), depth)
+        place = moved[place]
         place[who] = new
-        behind = moved[before]
-        place_old = np.setdiff1d(np.arange(n), who, assume_unique=True)
-        place[place_old] = moved[place[place_old]]
-    return owner, length, shared[:-1]
+        suffix = (suffix & ~LOW) | moved[suffix & LOW]
+    return tag >> 16, tag & 0xFFFF, shared[:-1]
 
 
 def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,27 +158,28 @@ def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def repeated_windows(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each distinct segment, which of its windows occur at another place of the collection."""
+    size = np.array([len(x) for x in segments], np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    windows = size - length + 1
+    if not len(data):
+        return []
+    # The symbol that begins at each byte, as a number; those across two segments are never read.
+    sums = K.prefix_sums(data)
+    m = len(data) - SYMBOL + 1
+    _, number = np.unique((sums[SYMBOL:] - sums[:-SYMBOL]) * K.powers(len(data) + 1)[1][:m], return_inverse=True)
+    shifts = np.minimum(windows, SYMBOL)
+    of = np.repeat(np.arange(len(segments)), shifts)
+    shift = np.arange(len(of)) - np.repeat(np.cumsum(shifts) - shifts, shifts)
+    count = (size[of] - shift) // SYMBOL
+    owner, long, shared = insert_columns(number.astype(np.int64) + 1, at[of] + shift, count, length // SYMBOL)
     need = length // SYMBOL
-    docs, of, shift = [], [], []
-    for i, seg in enumerate(segments):
-        x = np.frombuffer(seg, np.uint8)
-        for s in range(min(SYMBOL, len(x) - length + 1)):
-            m = (len(x) - s) // SYMBOL
-            docs.append(x[s : s + m * SYMBOL].view(">u8").astype(np.uint64))
-            of.append(i)
-            shift.append(s)
-    out = [np.zeros(len(seg) - length + 1, bool) for seg in segments]
-    if not docs:
-        return out
-    of, shift, size = np.array(of), np.array(shift), np.array([len(d) for d in docs])
-    _, number = np.unique(np.concatenate(docs), return_inverse=True)
-    owner, long, shared = insert_columns(np.split(number.astype(np.int64) + 1, np.cumsum(size)[:-1]), need)
     twice = (shared >= need) | (np.append(shared[1:], 0) >= need)
     hit = np.flatnonzero(twice & (long >= need))
-    where = shift[owner[hit]] + (size[owner[hit]] - long[hit]) * SYMBOL
-    for i, t in zip(of[owner[hit]].tolist(), where.tolist()):
-        out[i][t] = True
-    return out
+    d = owner[hit]
+    marks = np.zeros(len(data), bool)
+    marks[at[of[d]] + shift[d] + (count[d] - long[hit]) * SYMBOL] = True
+    return [marks[a : a + w] for a, w in zip(at[:-1].tolist(), windows.tolist())]
 
 
 def runs(mask: np.ndarray) -> list[int]:
@@ -219,7 +222,7 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
                         ["anchor", "segment", "text_key", "start", "windows"],
                     )
 
-    found = docs.select("text").mapInArrow(run, "anchor long, segment binary, text_key binary, start long, windows int")
+    found = docs.select("text").transform(arrow_map, run, "anchor long, segment binary, text_key binary, start long, windows int")
     return write_table(found.groupBy("anchor", "segment", "text_key", "start", "windows").agg(F.count("*").alias("n")), "occurrences")
 
 
@@ -258,7 +261,7 @@ def collections(docs: DataFrame, open_anchors: DataFrame, s: Settings) -> DataFr
                     cols = list(zip(*rows)) if rows else [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], ["anchor", "segment", "offset", "shard", "bytes"])
 
-    got = docs.select("text").mapInArrow(run, "anchor long, segment binary, offset int, shard int, bytes binary")
+    got = docs.select("text").transform(arrow_map, run, "anchor long, segment binary, offset int, shard int, bytes binary")
     return got.join(open_anchors.select("anchor"), "anchor", "left_semi").groupBy("anchor", "segment", "offset", "shard").agg(F.first("bytes").alias("bytes"))
 
 
@@ -274,7 +277,7 @@ def anchor_filter(open_anchors: DataFrame, n_bytes: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["at", "bits"])
 
     bits = np.zeros(n_bytes, np.uint8)
-    for r in open_anchors.select("anchor").coalesce(8).mapInArrow(run, "at long, bits binary").toLocalIterator():
+    for r in open_anchors.select("anchor").coalesce(8).transform(arrow_map, run, "at long, bits binary").toLocalIterator():
         bits[r["at"] : r["at"] + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
@@ -293,11 +296,12 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         marks = [runs(m) for m in found]
         return pa.table({"anchor": table["anchor"], "segment": table["segment"], "offset": table["offset"], "marks": pa.array(marks, pa.list_(pa.int32()))})
 
-    marked = collections(docs, open_anchors, s).groupBy("shard").applyInArrow(run, "anchor long, segment binary, offset int, marks array<int>")
+    marked = collections(docs, open_anchors, s).groupBy("shard").applyInArrow(tidy_group(run), "anchor long, segment binary, offset int, marks array<int>")
     # A window dealt by itself marks its own offset.
     marked = marked.filter(F.size("marks") > 0).select("anchor", "segment", F.when(F.col("offset") < 0, F.col("marks")).otherwise(F.array("offset", F.col("offset") + 1)).alias("marks"))
     marked = write_table(marked.groupBy("anchor", "segment").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
-    known = segments.join(marked, ["anchor", "segment"], "left").filter("often OR marks IS NOT NULL")
+    # Written, so that both sides of the next join are dealt anew and a segment of very many places can be split.
+    known = write_table(segments.join(marked, ["anchor", "segment"], "left").filter("often OR marks IS NOT NULL"), "known")
     at = places.join(known, ["anchor", "segment"]).select(
         "text_key",
         F.when(F.col("often"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows")).alias("b"))))
