@@ -75,7 +75,7 @@ def set_key(x: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, s: Settings, minima: bool) -> DataFrame:
-    """docs with n_shingles, _set (a digest of the set, null without one) and, if minima, _sig."""
+    """docs with __n (shingles), __set (a digest of the set, null without one) and, if minima, __sig."""
     text_at, n, width = docs.columns.index("text"), s.shingle, s.bands * s.rows
 
     def make():
@@ -96,13 +96,13 @@ def sketches(docs: DataFrame, s: Settings, minima: bool) -> DataFrame:
                         for k in range(width):
                             sig[full, k] = np.minimum.reduceat((x * a[k] + b[k]) >> np.uint64(32), x_at[:-1][full])
                     sigs += [r.tobytes() if c else None for r, c in zip(sig, m.tolist())]
-            out = {"n_shingles": pa.array(np.concatenate(size) if size else np.zeros(0, np.int64)), "_set": pa.array(keys, pa.binary())}
-            return out | ({"_sig": pa.array(sigs, pa.binary())} if minima else {})
+            out = {"__n": pa.array(np.concatenate(size) if size else np.zeros(0, np.int64)), "__set": pa.array(keys, pa.binary())}
+            return out | ({"__sig": pa.array(sigs, pa.binary())} if minima else {})
 
         return f
 
-    added = [("n_shingles", T.LongType()), ("_set", T.BinaryType())]
-    return map_texts(docs, added + [("_sig", T.BinaryType())] * minima, make)
+    added = [("__n", T.LongType()), ("__set", T.BinaryType())]
+    return map_texts(docs, added + [("__sig", T.BinaryType())] * minima, make)
 
 
 def buckets(classes: DataFrame, s: Settings) -> DataFrame:
@@ -241,9 +241,9 @@ def block_links(members: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, _set) of all rows, and (_set, component_id) of all classes."""
-    seen = write_table(sketches(docs.select("doc_id", "text"), s, minima=True).select("doc_id", "n_shingles", "_set", "_sig"), "sketches")
-    nodes = write_table(seen.filter("_set IS NOT NULL").groupBy(F.col("_set").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("_sig").alias("_sig")), "classes")
+    """(doc_id, __n, __set) of all rows, and (__set, __component) of all classes."""
+    seen = write_table(sketches(docs.select("doc_id", "text"), s, minima=True).select("doc_id", "__n", "__set", "__sig"), "sketches")
+    nodes = write_table(seen.filter("__set IS NOT NULL").groupBy(F.col("__set").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("__sig").alias("_sig")), "classes")
     dealt = buckets(nodes, s)
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1").select("bucket", "center")
     members = write_table(dealt.join(shared, "bucket"), "buckets")
@@ -270,34 +270,41 @@ def classes_of(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rooted = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return seen.drop("_sig"), write_table(rooted.join(ids, "root").select(F.col("node").alias("_set"), "component_id"), "components")
+    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("__component"))
+    return seen.drop("__sig"), write_table(rooted.join(ids, "root").select(F.col("node").alias("__set"), "__component"), "components")
 
 
 def decide(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes, "_set", "left").withColumn("component_id", F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """rows, of sketches(), with __component and __kept."""
+    joined = rows.join(classes, "__set", "left")
+    joined = joined.withColumn("__component", F.when(F.col("__set").isNull(), F.col("doc_id")).otherwise(F.col("__component")))
+    return joined.withColumn("__kept", F.col("doc_id").eqNullSafe(F.col("__component")))
+
+
+def results() -> list:
+    return [F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"), F.col("__kept").alias("kept")]
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with n_shingles, component_id (the least doc_id of the document's group) and kept (whether it is that document)."""
     docs = docs.drop("n_shingles", "component_id", "kept")
     _, classes = classes_of(docs, s)
-    return decide(sketches(docs, s, minima=False), classes).select(*docs.columns, "n_shingles", "component_id", "kept")
+    return decide(sketches(docs, s, minima=False), classes).select(*docs.columns, *results())
 
 
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs without near duplicates: one row of each group stays, also where rows are repeated."""
     seen, classes = classes_of(docs, s)
-    again = seen.filter("doc_id IS NOT NULL").groupBy("doc_id", "_set").count().filter("count > 1").isEmpty()
-    kept = decide(sketches(docs, s, minima=False), classes).filter("kept")
-    if not again:
-        kept = kept.filter("_set IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "_set"]).unionByName(kept.filter("_set IS NULL OR doc_id IS NULL"))
+    once = seen.filter("doc_id IS NOT NULL").groupBy("doc_id", "__set").count().filter("count > 1").isEmpty()
+    kept = decide(sketches(docs, s, minima=False), classes).filter("__kept")
+    if not once:
+        kept = kept.filter("__set IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "__set"]).unionByName(kept.filter("__set IS NULL OR doc_id IS NULL"))
     return kept.select(*docs.columns)
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     seen, classes = classes_of(docs.select("doc_id", "text"), s)
-    return decide(seen, classes).select("doc_id", "n_shingles", "component_id", "kept")
+    return decide(seen, classes).select("doc_id", *results())
 
 
 SQL = r"""
