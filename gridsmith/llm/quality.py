@@ -74,9 +74,12 @@ def features(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> Model:
-    """rows: (feature numbers, values, label); the order of rows is the order of learning."""
+    """rows: (feature numbers, values, label 0 or 1); the order of rows is the order of learning."""
     z, n = np.zeros((1 << s.bits) + 1), np.zeros((1 << s.bits) + 1)
     bias = 1 << s.bits
+    ones = sum(y for _, _, y in rows)
+    # Both labels weigh the same in all, so that a rare one is not learned as noise.
+    weight = [len(rows) / (2 * max(k, 1)) for k in (len(rows) - ones, ones)]
 
     def weights(at):
         zi = z[at]
@@ -88,7 +91,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> Model:
             at, x = np.append(at, bias), np.append(x, 1.0)
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - y) * x
+            g = weight[y] * (p - y) * x
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / s.alpha
             z[at] += g - sigma * w
             n[at] += g * g
@@ -102,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     picked = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max("quality").cast("int").alias("_y"))
+        .agg((F.max("quality") > 0).cast("int").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(s.most_labelled)
         .collect()
