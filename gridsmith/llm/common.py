@@ -23,8 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where it is unset, a local session gets a temporary folder; a cluster must set it.
     """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     held = getattr(shared_dir, "own", None)
