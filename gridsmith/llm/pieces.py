@@ -8,7 +8,7 @@ are merge ranks, it is -log(rank + 1). Forward filtering sums the weights of all
 then draws each edge from the unit's end on in proportion to the sums, so a segmentation is drawn with its exact probability.
 All draws are hashes of (seed, row key, unit number, draw number): the same row key and text get the same pieces in every run.
 
-The lattice is filtered once for each distinct unit of about a megabyte of text; all its units are sampled at once.
+The lattice is filtered once for each distinct unit of CHUNK bytes of text; all its units are sampled at once.
 Decoding joins pieces and bytes; it gives back every text exactly, U+2581 in a text included, as that is encoded by its bytes.
 A null text has null ids and decodes to null; an empty text has no ids. Rows of equal keys and texts have equal ids; a null key
 is a key of its own. Other columns are kept; columns with the names added are replaced.
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ SIGN = "▁"
 #: A unit of more bytes is cut, between characters.
 MOST_BYTES = 512
 HIGH = np.uint64(42)
+#: Bytes of text whose lattices are filtered together.
+CHUNK = 1 << 19
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -237,30 +239,59 @@ def row_key(values: list, seed: int) -> np.ndarray:
     return K.mix(x * np.uint64(0x2545F4914F6CDD1D | 1) + np.uint64(seed))
 
 
+def encoder(v: Vocabulary, seed: int):
+    """A function from texts and row keys to lists of ids."""
+
+    def run(texts: pa.Array, row_keys: pa.Array) -> pa.Array:
+        data, at = K.utf8(texts)
+        keys, null = row_key(row_keys.to_pylist(), seed), texts.is_null().to_pylist()
+        parts, ends, total = [], [], 0
+        for lo, hi in K.chunks(at, CHUNK):
+            ids, first = sample(v, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], keys[lo:hi])
+            parts.append(ids.astype(np.int32))
+            ends += (first[:-1] + total).tolist()
+            total += len(ids)
+        ends = [None if x else e for x, e in zip(null, ends)] + [total]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
+
+    return run
+
+
+def decoder(v: Vocabulary):
+    """A function from lists of ids to texts."""
+    size = np.array([len(t) for t in v.texts], np.int64)
+    first = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(v.texts), np.uint8)
+
+    def run(lists: pa.Array) -> pa.Array:
+        x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.array([0 if k is None else k for k in lists.value_lengths().to_pylist()], np.int64)
+        ids_at, valid, out = np.concatenate([[0], np.cumsum(n)]), lists.is_valid().to_pylist(), []
+        for lo, hi in K.chunks(ids_at, CHUNK // 4):
+            y = x[ids_at[lo] : ids_at[hi]]
+            wide = size[y]
+            end = np.concatenate([[0], np.cumsum(wide)])
+            text = flat[np.repeat(first[y] - end[:-1], wide) + np.arange(end[-1])].tobytes()
+            at = end[ids_at[lo : hi + 1] - ids_at[lo]].tolist()
+            out += [text[a:b].decode("utf-8") if ok else None for a, b, ok in zip(at[:-1], at[1:], valid[lo:hi])]
+        return pa.array(out, pa.string())
+
+    return run
+
+
+IDS = T.ArrayType(T.IntegerType())
+
+
 def encode(docs: DataFrame, key: str = "doc_id", s: Settings = Settings()) -> DataFrame:
     """docs with piece_ids, a sampled segmentation of text."""
-    spark: SparkSession = docs.sparkSession
-    sent = spark.sparkContext.broadcast(load(s))
+    sent = docs.sparkSession.sparkContext.broadcast(load(s))
     text_at, key_at, seed = docs.columns.index("text"), docs.columns.index(key), s.seed
 
     def make():
-        v = sent.value
-
-        def f(batch):
-            data, at = K.utf8(batch.column(text_at))
-            keys, null = row_key(batch.column(key_at).to_pylist(), seed), batch.column(text_at).is_null().to_pylist()
-            parts, ends, total = [], [], 0
-            for lo, hi in K.chunks(at):
-                ids, first = sample(v, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], keys[lo:hi])
-                parts.append(ids.astype(np.int32))
-                ends += (first[:-1] + total).tolist()
-                total += len(ids)
-            ends = [None if x else e for x, e in zip(null, ends)] + [total]
-            return {"piece_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int32()))}
-
-        return f
+        run = encoder(sent.value, seed)
+        return lambda batch: {"piece_ids": run(batch.column(text_at), batch.column(key_at))}
 
-    return map_texts(docs, [("piece_ids", T.ArrayType(T.IntegerType()))], make)
+    return map_texts(docs, [("piece_ids", IDS)], make)
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", name: str = "decoded", s: Settings = Settings()) -> DataFrame:
@@ -268,27 +299,30 @@ def decode(df: DataFrame, ids: str = "piece_ids", name: str = "decoded", s: Sett
     sent, ids_at = df.sparkSession.sparkContext.broadcast(load(s)), df.columns.index(ids)
 
     def make():
-        texts = sent.value.texts
-        size = np.array([len(t) for t in texts], np.int64)
-        first = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(texts), np.uint8)
+        run = decoder(sent.value)
+        return lambda batch: {name: run(batch.column(ids_at))}
+
+    return map_texts(df, [(name, T.StringType())], make)
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", s: Settings = Settings()) -> DataFrame:
+    """docs with piece_ids and decoded, both made by one Python worker: two steps in turn would take two for each task."""
+    sent = docs.sparkSession.sparkContext.broadcast(load(s))
+    text_at, key_at, seed = docs.columns.index("text"), docs.columns.index(key), s.seed
+
+    def make():
+        to_ids, to_text = encoder(sent.value, seed), decoder(sent.value)
 
         def f(batch):
-            col = batch.column(ids_at)
-            x = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            n = np.array([0 if v is None else v for v in col.value_lengths().to_pylist()], np.int64)
-            wide = size[x]
-            end = np.concatenate([[0], np.cumsum(wide)])
-            out = flat[np.repeat(first[x] - end[:-1], wide) + np.arange(end[-1])].tobytes()
-            at = end[np.concatenate([[0], np.cumsum(n)])].tolist()
-            return {name: pa.array([out[a:b].decode("utf-8") if ok else None for a, b, ok in zip(at[:-1], at[1:], col.is_valid().to_pylist())], pa.string())}
+            ids = to_ids(batch.column(text_at), batch.column(key_at))
+            return {"piece_ids": ids, "decoded": to_text(ids)}
 
         return f
 
-    return map_texts(df, [(name, T.StringType())], make)
+    return map_texts(docs, [("piece_ids", IDS), ("decoded", T.StringType())], make)
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per document its sampled ids, their number, the decoded text's digest, and whether it is the text."""
-    both = decode(encode(docs.select("doc_id", "text"), s=s), s=s)
+    both = round_trip(docs.select("doc_id", "text"), s=s)
     return both.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
