@@ -32,7 +32,7 @@ SIGN = "▁"
 MOST_BYTES = 512
 HIGH = np.uint64(42)
 #: Bytes of text whose lattices are filtered together.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
