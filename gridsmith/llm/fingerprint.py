@@ -38,7 +38,7 @@ def shingle_hashes(text: str) -> str:
 
 def bins(text: str) -> str:
     """SQL for the filled bins, ascending: bin number times 2**56 plus the least value."""
-    keyed = f"array_sort(transform({shingle_hashes(text)}, x -> shiftleft(x & {BINS - 1}, 56) | (shiftrightunsigned(x, {BIN_BITS}) & 72057594037927935)))"
+    keyed = f"sort_array(transform({shingle_hashes(text)}, x -> shiftleft(x & {BINS - 1}, 56) | (shiftrightunsigned(x, {BIN_BITS}) & 72057594037927935)))"
     return f"transform(array({keyed}), s -> filter(s, (x, i) -> i = 0 OR shiftright(x, 56) != shiftright(s[greatest(i - 1, 0)], 56)))[0]"
 
 
