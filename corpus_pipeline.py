@@ -27,8 +27,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates stays."""
-    return minhash.one_of_each(docs)
+    """The document with the least doc_id of each group of near duplicates, of a likeness of 0.8 or more, stays."""
+    return minhash.one_of_each(docs, minhash.Settings(percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline as C
+import numpy as np
 from gridsmith.llm.common import write_table
 
 from .conftest import SMALL
@@ -55,3 +56,34 @@ def test_odd_and_empty_documents(spark):
         for name, stage in C.STAGES:
             docs = write_table(stage(spark, docs, SMALL), name)
         assert docs.count() <= 1
+
+
+def test_near_dedup_against_brute_force(spark, docs):
+    rng = np.random.default_rng(13)
+    vocabulary = [f"v{i}" for i in range(5_000)]
+    texts = []
+    for n in (94, 104, 114, 124) * 4:
+        base = list(rng.choice(vocabulary, n))
+        texts.append(" ".join(base))
+        # Words far from each other and from the ends: each takes five shingles.
+        for changes in (len(texts) % 4, 2, 3):
+            other = list(base)
+            for k in range(changes):
+                other[10 + 25 * k + int(rng.integers(0, 15))] = str(rng.choice(vocabulary))
+            texts.append(" ".join(other))
+    texts += ["few words", "few words", "", None]
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group, between = list(range(len(sets))), 0
+    for i in range(len(sets)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both and 100 * both >= 80 * either:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+                between += 100 * both < 85 * either
+    assert between > 10
+    got = C.near_dedup(spark, docs(list(enumerate(texts))), SMALL)
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == sorted(set(group))
