@@ -10,8 +10,8 @@ pairs, their counts, and the 16-bit numbers of the texts that hold them. A shard
 to the pairs, and sends on a sum for each text, the words that back off, and its counts of words, now dealt by a hash of
 the word, where the counts of words are joined to them. Sums of a block meet at last and are joined to the rows by a digest of
 the text. First words that occur more often than a shard is large, and the place before a first word, are dealt by a hash of
-the pair; their counts, fewer than there are shards, are sent to all tasks. Which words are so treated is judged by a sample
-and changes no result.
+the pair; their counts, fewer than there are shards, are sent to all tasks. Which words are so treated is counted over all
+rows and changes no result.
 
 Words are told apart by hashes of 48 bits. A null or empty text has n_words 0, logp 0 and a null perplexity. Rows of equal texts
 count as rows of their own and have equal scores. Other columns are kept; columns of the names added are replaced.
@@ -46,7 +46,7 @@ BEFORE, BEHIND = 0, (1 << 48) - 1
 class Settings:
     #: Word pairs of a shard, about.
     shard_pairs: int = 2_500_000
-    #: Share of the rows, by a hash of the text, by which frequent first words are judged.
+    #: Without effect: frequent first words are counted over all rows.
     judged: float = 0.02
 
 
@@ -89,37 +89,21 @@ def starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def totals(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray, np.ndarray]:
-    """(N, frequent first words, their counts over all rows)."""
+    """(N, the words that occur more often than shard_pairs, their counts), counted over all rows."""
 
-    def frequent(batches):
+    def count(batches):
         for batch in batches:
             for part in slices(batch, BLOCK_BYTES):
                 h, _ = words48(*K.utf8(part.column(0)))
                 u, n = np.unique(h, return_counts=True)
-                # A word of a thousandth of all words is a thousandth of some block.
-                often = n * 1000 >= len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(u[often].view(np.int64), -1)), pa.array(np.append(n[often], len(h)))], ["word", "n"])
-
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(s.judged * 10_000))
-    got = sample.transform(arrow_map, frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(1_001).collect()
-    words = np.sort(np.array([r["word"] for r in got if r["word"] != -1], np.int64)).view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-
-    def count(batches):
-        w = sent.value
-        for batch in batches:
-            for part in slices(batch):
-                h, _ = words48(*K.utf8(part.column(0)))
-                n = np.zeros(len(w), np.int64)
-                if len(w):
-                    i = np.minimum(np.searchsorted(w, h), len(w) - 1)
-                    n = np.bincount(i[w[i] == h], minlength=len(w))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(w))), pa.array(np.append(len(h), n))], ["k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(u.view(np.int64), -1)), pa.array(np.append(n, len(h)))], ["word", "n"])
 
-    found = {r["k"]: r["n"] for r in docs.select("text").transform(arrow_map, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    counts = docs.select("text").transform(arrow_map, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # Fewer words than there are shards can be that frequent.
+    found = {r["word"]: r["n"] for r in counts.filter((F.col("word") == -1) | (F.col("n") > s.shard_pairs)).collect()}
     total = found.pop(-1, 0)
-    often = np.array([k for k, n in sorted(found.items()) if n > s.shard_pairs], np.int64)
-    return total, words[often], np.array([found[k] for k in often.tolist()], np.float64)
+    often = np.array(sorted(found), np.int64)
+    return total, often.view(np.uint64), np.array([found[w] for w in often.tolist()], np.float64)
 
 
 PAIRS = [("shard", pa.int32()), ("block", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("sizes", pa.binary()), ("seconds", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())]

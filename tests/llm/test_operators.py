@@ -303,6 +303,16 @@ def test_scores_against_brute_force(docs, shard_pairs):
         assert r["perplexity"] is None if not ws else abs(r["perplexity"] - np.exp(-want / len(ws))) < 1e-6
 
 
+def test_frequent_words_are_counted_over_all_rows(docs):
+    # A group of copies alone holds some frequent words, and there are more of these than a thousand.
+    texts = ["held by copies only"] * 30 + [" ".join(f"w{i}" for i in range(1_500))] * 6 + ["w1 once", "", None]
+    c = collections.Counter(w for t in texts for w in (t or "").split())
+    total, often, counts = lm.totals(docs(list(enumerate(texts))).select("text"), lm.Settings(shard_pairs=5))
+    of = dict(zip(lm.words48(*K.utf8(pa.array([" ".join(c)])))[0].tolist(), c.values()))
+    assert total == sum(c.values()) and dict(zip(often.tolist(), counts.tolist())) == {h: n for h, n in of.items() if n > 5}
+    assert len(often) == 1_504 and (np.diff(often.astype(np.int64)) > 0).all()
+
+
 def test_scores_on_odd_tables(odd, none):
     got = lm.score(odd)
     assert got.count() == odd.count() and got.filter("text = 'a b c d e f g'").select("logp").distinct().count() == 1
