@@ -6,7 +6,7 @@ word: its rarest over all documents. Documents are joined with windows on that w
 the document at the word's place (the length and positional bounds), and then all its words are compared in order.
 
 Windows are sent to all tasks in blocks of items of at most block_bytes of text; each further block is one more pass.
-Null or empty texts have no words. Items with a null item_id are left out. Rows of items with one item_id are one item; repeated
+Null or empty texts have no words. Windows of items with a null item_id are hits too, but add nothing to item_ids. Rows of items with one item_id are one item; repeated
 document rows each get their result. Other columns are kept; columns with the names added are replaced.
 """
 
@@ -43,16 +43,18 @@ class Index:
     names: list[str]
 
 
-def windows_of(items: list[tuple[str, str]], width: int):
-    """{words of a window: numbers of its items} and the items' names."""
-    names = sorted({i for i, _ in items})
+def windows_of(items: list[tuple[str | None, str]], width: int):
+    """{words of a window: numbers of its items that have a name} and the items' names."""
+    names = sorted({i for i, _ in items if i is not None})
     number = {n: k for k, n in enumerate(names)}
     found: dict[tuple, set[int]] = {}
     for name, text in items:
         data, at = K.utf8(pa.array([text], pa.string()))
         h = K.words(data, at, K.ALNUM)[0].tolist()
         for i in range(max(1, len(h) - width + 1) if h else 0):
-            found.setdefault(tuple(h[i : i + width]), set()).add(number[name])
+            of = found.setdefault(tuple(h[i : i + width]), set())
+            if name is not None:
+                of.add(number[name])
     return found, names
 
 
@@ -80,7 +82,7 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(docs: DataFrame, items: list[tuple[str, str]], s: Settings) -> Index:
+def build(docs: DataFrame, items: list[tuple[str | None, str]], s: Settings) -> Index:
     found, names = windows_of(items, s.window)
     vocabulary = np.array(sorted({w for ws in found for w in ws}), np.uint64)
     rarity = dict(zip(vocabulary.tolist(), word_counts(docs, vocabulary).tolist()))
@@ -135,14 +137,14 @@ def match(x: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 def find_windows(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with n_words, n_hit (words within occurring windows), hit_spans (their runs: start, end) and item_ids (sorted as strings)."""
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, math.ceil(size / s.block_bytes))
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     added = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("hit_spans", span), ("item_ids", T.ArrayType(T.StringType()))]
     out = docs.drop(*(n for n, _ in added))
     for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
+        own = items.filter(F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(blocks)) == b) if blocks > 1 else items
         index = build(docs, [(r["item_id"], r["text"]) for r in own.collect()], s)
         sent = spark.sparkContext.broadcast(index)
         text_at, before = out.columns.index("text"), b > 0

@@ -186,6 +186,19 @@ def test_windows_by_any_blocks(spark, docs, block_bytes):
     assert [(s["start"], s["end"]) for s in got[0]["hit_spans"]] == [(0, 12), (20, 31)]
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 20])
+def test_windows_of_items_without_an_id(spark, docs, block_bytes):
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(None, " ".join(words[:12])), (None, "Lost item"), (1, " ".join(words[8:20])), (None, None), (2, "lost item")], "item_id long, text string")
+    texts = [" ".join(words), " ".join(words[:11]), "a lost, item", "lost", None]
+    for some, ids in ((items, [["1"], [], ["2"], [], []]), (items.filter("item_id IS NULL"), [[]] * 5)):
+        got = decontam.find_windows(docs(list(enumerate(texts))), some, decontam.Settings(block_bytes=block_bytes)).orderBy("doc_id").collect()
+        assert [(r["n_words"], r["n_hit"]) for r in got] == [(40, 20 if ids[0] else 12), (11, 11), (3, 2), (1, 0), (0, 0)]
+        assert [r["item_ids"] for r in got] == ids
+    out = {r["doc_id"]: r for r in decontam.query(docs(list(enumerate(texts))), items.filter("item_id IS NULL")).collect()}
+    assert [out[i]["contaminated"] for i in range(5)] == [True, True, True, False, False] and out[1]["n_items"] == 0
+
+
 def test_windows_on_odd_tables(spark, odd, none):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     got = decontam.find_windows(odd, items)
