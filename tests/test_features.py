@@ -1,8 +1,11 @@
 """Feature files, static checks, the command line and streams."""
 
 import json
+import os
+import shutil
+import subprocess
 import sys
-import textwrap
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,10 +147,33 @@ def test_streams(spark, tmp_path):
         S.stateless(Keyed, stream)
 
 
-def test_entry_imports():
-    import importlib
-
-    entry = importlib.import_module("__spark_entry__")
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert "flagship_orders" in entry.queries()
-    assert sys.modules["__spark_entry__"] and textwrap
+@pytest.mark.parametrize("removed", [(), ("gridsmith/llm", "tests/llm"), ("corpus_pipeline.py",), ("gridsmith/llm", "corpus_pipeline.py")])
+def test_entry_with_and_without_the_corpus_operators(tmp_path, removed):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "gridsmith", tmp_path / "gridsmith", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    for name in removed:
+        path = tmp_path / name
+        if path.is_dir():
+            shutil.rmtree(path)
+        elif path.exists():
+            path.unlink()
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(*q)"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.split()
+    assert "flagship_orders" in said
+    there = (tmp_path / "gridsmith/llm/queries.py").exists()
+    assert any(x.startswith("op") for x in said) == there
+    assert ("pipeline" in said) == (there and (tmp_path / "corpus_pipeline.py").exists())
+
+
+def test_entry_hides_no_import_error(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "gridsmith", tmp_path / "gridsmith", ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "gridsmith/llm").mkdir()
+    (tmp_path / "gridsmith/llm/__init__.py").touch()
+    (tmp_path / "gridsmith/llm/queries.py").write_text("import no_such_module\n")
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.returncode and "no_such_module" in said.stderr
