@@ -53,6 +53,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as make it none of df's columns, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_columns_schema(df: DataFrame, added: list[tuple[str, T.DataType]]) -> T.StructType:
     names = {n for n, _ in added}
     fields = [f for f in df.schema.fields if f.name not in names]

@@ -4,6 +4,8 @@ A first pass fills both filters: a hash already in the once-seen filter goes to
 are merged block by block; what two tasks both have once counts as twice. So no line of two documents is missed. Only lines
 found in the merged twice-seen filter are shuffled, as digests of 128 bits, to count their documents exactly and to find
 their first occurrence. The filters have a fixed size; where lines outnumber it, more lines are suspected, and results stay.
+Repeated keys are sent to all tasks if they are few. Else only documents that may hold one, by a filter of the repeated keys,
+are joined to them, and all others are passed on where they are.
 
 A line's key is the line without leading and trailing ASCII white space, A-Z lower-cased. A null or empty text is one empty
 line; keys shorter than min_chars (the empty key always) are never dropped. A key repeated within one document counts once,
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import arrow_map, map_texts, slices, write_table
+from .common import arrow_map, fresh, map_texts, slices, write_table
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ class Settings:
 
 BLOCK = 1 << 14
 HASHES = 4
+#: Tasks that fill filters at most.
+MOST_FILTERS = 2_048
 
 
 def bit_positions(h: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -121,11 +125,12 @@ def twice_seen(df: DataFrame, hashes, n_bytes: int) -> np.ndarray:
             r = rows[lo : lo + 256]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in r], pa.int32()), pa.array([x[1] for x in r], pa.binary()), pa.array([x[2] for x in r], pa.binary())], ["block", "once", "twice"])
 
-    return merge_filters(df.transform(arrow_map, run, FILTER_SCHEMA), n_bytes)
+    # Each task sends a filter of its own, so the number of tasks bounds what is merged.
+    return merge_filters(df.coalesce(MOST_FILTERS).transform(arrow_map, run, FILTER_SCHEMA), n_bytes)
 
 
 def lines(data: np.ndarray, at: np.ndarray, min_chars: int):
-    """(hashes, key starts, key ends, first, usable): the lines of each row and the byte spans of their keys."""
+    """(hashes, key starts, key ends, first, usable, folded): each row's lines, their keys' byte spans, and the folded bytes."""
     n = len(data)
     breaks = np.flatnonzero(data == 10)
     per = np.searchsorted(breaks, at[1:]) - np.searchsorted(breaks, at[:-1])
@@ -146,7 +151,7 @@ def lines(data: np.ndarray, at: np.ndarray, min_chars: int):
     else:
         ks = ke = start
     folded = K.LOWER[data]
-    h = K.spans(K.prefix_sums(folded), ks, ke) if n else np.zeros(len(start), np.uint64)
+    h = K.safe(K.spans(K.prefix_sums(folded), ks, ke), folded, ks, ke) if n else np.zeros(len(start), np.uint64)
     usable = ~empty
     if min_chars > 1:
         points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -266,17 +271,22 @@ def drop_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         return map_texts(docs, added, make)
 
+    docs = docs.drop(*(n for n, _ in added))
+    text_key, found_name, flag = fresh(docs, "text_key", "found", "flag")
     per_text = (
         suspected_lines(True)
         .select("t", "key")
         .distinct()
         .join(repeated.select("key", "id", "line"), "key")
         .groupBy("t")
-        .agg(F.collect_list(F.struct("key", "id", "line")).alias("_found"))
-        .withColumnRenamed("t", "_text_key")
+        .agg(F.collect_list(F.struct("key", "id", "line")).alias(found_name))
+        .withColumnRenamed("t", text_key)
     )
-    joined = docs.withColumn("_text_key", F.md5(F.coalesce("text", F.lit("")))).join(per_text, "_text_key", "left")
-    found_at, text_in, id_in = (joined.columns.index(c) for c in ("_found", "text", "doc_id"))
+    flagged = with_flag(docs, flag, key_filter(repeated, s.filter_bytes), min_chars)
+    pass_on = flagged.filter(~F.col(flag)).drop(flag).withColumn(found_name, F.lit(None).cast(per_text.schema[found_name].dataType))
+    held = flagged.filter(flag).drop(flag).withColumn(text_key, F.md5(F.coalesce("text", F.lit(""))))
+    joined = pass_on.unionByName(held.join(per_text, text_key, "left").drop(text_key))
+    found_at, text_in, id_in = (joined.columns.index(c) for c in (found_name, "text", "doc_id"))
 
     def make():
         def found_of(batch, h, first, usable, lo):
@@ -290,7 +300,43 @@ def drop_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         return cut(found_of, text_in, id_in)
 
-    return map_texts(joined, added, make).drop("_text_key", "_found")
+    return map_texts(joined, added, make).drop(found_name)
+
+
+def key_filter(repeated: DataFrame, n_bytes: int) -> np.ndarray:
+    """A Bloom filter of the repeated keys' hashes; tasks send filters, which have a fixed size, not the keys."""
+
+    def run(batches):
+        own = np.zeros(n_bytes, np.uint8)
+        for batch in batches:
+            put(own, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        got = [(i, own[i : i + BLOCK].tobytes()) for i in range(0, n_bytes, BLOCK) if own[i : i + BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["at", "bits"])
+
+    out = np.zeros(n_bytes, np.uint8)
+    for r in repeated.select("h").coalesce(8).transform(arrow_map, run, "at long, bits binary").toLocalIterator():
+        out[r["at"] : r["at"] + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def with_flag(docs: DataFrame, name: str, bits: np.ndarray, min_chars: int) -> DataFrame:
+    """docs with a flag: whether any line may have a key of the filter."""
+    sent, text_at = docs.sparkSession.sparkContext.broadcast(bits), docs.columns.index("text")
+
+    def make():
+        def f(batch):
+            data, at = K.utf8(batch.column(text_at))
+            out = np.zeros(batch.num_rows, bool)
+            for lo, hi in K.chunks(at):
+                h, _, _, first, usable, _ = lines(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], min_chars)
+                k = np.flatnonzero(usable)
+                k = k[has(sent.value, h[k])]
+                out[lo + np.searchsorted(first, k, "right") - 1] = True
+            return {name: pa.array(out)}
+
+        return f
+
+    return map_texts(docs, [(name, T.BooleanType())], make)
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

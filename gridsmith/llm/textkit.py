@@ -1,7 +1,7 @@
 """Vectorised byte and word hashing over Arrow text columns.
 
-Words are hashed by a polynomial over random byte values modulo 2**64. Such a hash has known collisions
-between crafted words of a thousand letters and more, so words over LONG bytes are hashed by blake2b instead.
+Words and lines are hashed by a polynomial over random byte values modulo 2**64. Such a hash has known collisions
+between crafted strings of a thousand letters and more, so strings over LONG bytes are hashed by blake2b instead.
 """
 
 from __future__ import annotations
@@ -82,6 +82,13 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def safe(h: np.ndarray, folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """h with the hashes of spans over LONG bytes replaced by blake2b's."""
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(folded[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def words(data: np.ndarray, at: np.ndarray, letters: np.ndarray, fold: np.ndarray = LOWER):
     """(hashes, starts, ends, first): words of each row as 64-bit hashes, their byte spans, and each row's first word.
 
@@ -98,9 +105,7 @@ def words(data: np.ndarray, at: np.ndarray, letters: np.ndarray, fold: np.ndarra
     cut[at] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    h = spans(prefix_sums(folded), start, end)
-    for i in np.flatnonzero(end - start > LONG):
-        h[i] = int.from_bytes(hashlib.blake2b(folded[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    h = safe(spans(prefix_sums(folded), start, end), folded, start, end)
     return h, start, end, np.searchsorted(start, at).astype(np.int64)
 
 

@@ -166,6 +166,35 @@ def test_lines_by_either_way(docs, broadcast_bytes, keep_first):
         assert (r["kept"], r["n_lines"], r["n_dropped"]) == ("\n".join(kept), len(ls), len(ls) - len(kept))
 
 
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_long_lines_whose_polynomial_hashes_collide(docs, broadcast_bytes):
+    one = thue_morse(2_048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    folded = np.frombuffer((one + other).encode(), np.uint8)
+    at = np.array([0, 2_048, 4_096])
+    h = K.spans(K.prefix_sums(folded), at[:-1], at[1:])
+    assert h[0] == h[1] and len(set(K.safe(h, folded, at[:-1], at[1:]).tolist())) == 2
+    table = docs([(i, f"{one}\n{other}") for i in range(12)] + [(20, "clean line"), (21, one)])
+    got = line_dedup.drop_lines(table, line_dedup.Settings(broadcast_bytes=broadcast_bytes)).orderBy("doc_id").collect()
+    assert [(r["n_lines"], r["n_dropped"], r["kept"]) for r in got] == [(2, 2, "")] * 12 + [(1, 0, "clean line"), (1, 1, "")]
+
+
+def test_lines_joined_keep_clashing_columns(odd):
+    s = line_dedup.Settings(min_docs=3, broadcast_bytes=0)
+    table = odd.withColumns({"text_key": F.lit("mine"), "found": F.lit("mine"), "FLAG": F.lit("mine")})
+    got, want = line_dedup.drop_lines(table, s), line_dedup.drop_lines(table, line_dedup.Settings(min_docs=3))
+    assert set(got.columns) == set(want.columns) and got.filter("text_key = 'mine' AND found = 'mine' AND `FLAG` = 'mine'").count() == odd.count()
+    show = lambda df: sorted(str(r) for r in rows(df.select("doc_id", "kept", "n_lines", "n_dropped", "_key")))
+    assert show(got) == show(want)
+
+
 def test_lines_with_a_full_filter_and_odd_tables(odd, none, docs):
     many = docs([(i, "\n".join(f"line {j}" for j in range(i, i + 40))) for i in range(60)])
     tight = line_dedup.Settings(filter_bytes=line_dedup.BLOCK, min_docs=10)
