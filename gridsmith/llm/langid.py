@@ -5,8 +5,12 @@ the last phrase ended, the longest match in the language's text is the next phra
 length, over the length of the text, estimate its cross entropy; the language with the least wins, ties by name.
 
 Texts are read as bytes: A-Z and the capitals of Latin-1 are lower-cased, and each run of bytes that are neither letters nor
-outside ASCII becomes one symbol. Parsing begins anew every SEGMENT symbols, for all languages alike, so that the whole text is
-parsed in rows of equal length at once.
+outside ASCII becomes one symbol. The sample is whole documents: the first by a hash of doc_id, short ones before long ones, as many as
+docs_per_language and bytes_per_language allow, one at least.
+
+Whole texts are parsed. For speed, all parts of SEGMENT symbols of all texts are parsed at once, each from the automaton's start; then
+every part is parsed again from the state in which the part before it ended, until no such state changes any more. Two parses that once
+end a phrase at one place agree from there on, so that takes two or three rounds; the phrases are those of a parse from the text's start.
 
 A null text, or one without any letter, gets lang_pred 'und' and score 0, as does every text where no labelled text was found.
 The score is the share of the winner among exp(-SHARPNESS * relative excess of its entropy); 1 with a single language.
@@ -34,10 +38,10 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class Settings:
-    #: Labelled documents learned from for each language, the first by a hash of doc_id.
+    #: Labelled documents learned from for each language at most.
     docs_per_language: int = 64
-    #: Symbols of them that go into a language's automaton.
-    symbols_per_language: int = 32_768
+    #: Bytes of them at most; a language whose shortest labelled document is longer learns from that one.
+    bytes_per_language: int = 32_768
 
 
 @dataclass(frozen=True)
@@ -97,13 +101,13 @@ def table(text: bytes, alphabet: np.ndarray, n: int) -> np.ndarray:
     root = np.zeros(n, np.int64)
     for c, q in step[0].items():
         root[alphabet[c]] = q * n
-    out = np.tile(root * 2 + 1, (len(step), 1))
+    out = np.tile((root * 2 + 1).astype(np.int32), (len(step), 1))
     for i, t in enumerate(step):
         for c, q in t.items():
             out[i, alphabet[c]] = q * n * 2
     out[0] = root * 2 + (root == 0)
     out[:, n - 1] = np.arange(len(step)) * n * 2
-    return out.ravel().astype(np.int32)
+    return out.ravel()
 
 
 _tables: dict[Model, tuple] = {}
@@ -132,31 +136,50 @@ def phrases(m: Model, x: np.ndarray, at: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(len(size)), size)
     flat[lane_at[row] * SEGMENT + np.arange(len(x)) - at[row]] = alphabet[x]
     grid = np.ascontiguousarray(flat.reshape(total, SEGMENT).T)
+    inner = np.ones(total, bool)
+    inner[lane_at[:-1][lanes > 0]] = False
+    inner = np.flatnonzero(inner)
     out = np.zeros((len(size), len(parsed)))
     for k, t in enumerate(parsed):
-        state, ends = np.zeros(total, np.int32), np.zeros(total, np.int32)
-        for c in grid:
-            v = t[state + c]
-            ends += v & 1
-            state = v >> 1
-        out[:, k] = K.run_sums((ends + 1).astype(np.int64), lane_at)
+        began = np.zeros(total, np.int32)
+        state, ends = parse_parts(t, grid, began)
+        while len(again := inner[began[inner] != state[inner - 1]]):
+            began[again] = state[again - 1]
+            state[again], ends[again] = parse_parts(t, np.ascontiguousarray(grid[:, again]), began[again])
+        # The last phrase ends with the text.
+        out[:, k] = K.run_sums(ends.astype(np.int64), lane_at) + (size > 0)
     return out
 
 
+def parse_parts(t: np.ndarray, grid: np.ndarray, began: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(state at the end, phrases ended) of each column of symbols, parsed from its state in began."""
+    state, ends = began, np.zeros(len(began), np.int32)
+    for c in grid:
+        v = t[state + c]
+        ends += v & 1
+        state = v >> 1
+    return state, ends
+
+
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     """A model from documents that have a language and are not held out."""
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= s.docs_per_language).select("doc_id", "lang", "n").distinct()
-    # Both sides of this join are the same rows; the right one is docs_per_language rows for each language.
-    rows = known.join(F.broadcast(first), ["doc_id", "lang"]).orderBy("lang", "n", "text").toLocalIterator()
+    size = F.octet_length("text")
+    # Documents that fill the sample alone come last, the shortest first, so that they are taken only where there is no other.
+    long = F.when(size > s.bytes_per_language, size).otherwise(0)
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "key")
+    first = known.select("doc_id", "lang", F.md5("text").alias("key"), size.alias("size"), long.alias("long")).distinct()
+    first = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= s.docs_per_language)
+    sums = F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    first = first.withColumn("sum", sums).filter((F.col("n") == 1) | (F.col("sum") <= s.bytes_per_language)).select("doc_id", "lang", "key", "n")
+    # The right side of this join has docs_per_language rows for each language at most.
+    rows = known.withColumn("key", F.md5("text")).join(F.broadcast(first), ["doc_id", "lang", "key"]).select("lang", "n", "text").distinct().orderBy("lang", "n")
     held: dict[str, list[bytes]] = {}
-    for r in rows:
-        if sum(map(len, held.setdefault(r["lang"], []))) < s.symbols_per_language:
-            data, at = K.utf8(pa.array([r["text"]], pa.string()))
-            held[r["lang"]].append(symbols(data, at)[0].tobytes() + b" ")
+    for r in rows.toLocalIterator():
+        data, at = K.utf8(pa.array([r["text"]], pa.string()))
+        held.setdefault(r["lang"], []).append(symbols(data, at)[0].tobytes() + b" ")
     names = tuple(sorted(held))
-    return Model(names, tuple(b"".join(held[n])[: s.symbols_per_language] for n in names))
+    return Model(names, tuple(b"".join(held[n]) for n in names))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
