@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding by forward-filtering backward-sampling.
 
 The pieces and scores are those of a given SentencePiece model file; nothing is trained. A text becomes units: a run of spaces with
-the run of other characters behind it, but each line feed alone, and no more than MOST_BYTES bytes. Spaces are written as the piece sign U+2581. The lattice of a unit
+the run of other characters behind it, but each line feed alone. Spaces are written as the piece sign U+2581. The lattice of a unit
 has an edge for each piece that occurs in it; a character without a piece of its own has its UTF-8 bytes' pieces as its one edge.
 An edge weighs exp(alpha * score): for a unigram model score is the piece's logarithmic probability, for a BPE model, whose scores
 are merge ranks, it is -log(rank + 1). Forward filtering sums the weights of all paths to each place; backward sampling
 then draws each edge from the unit's end on in proportion to the sums, so a segmentation is drawn with its exact probability.
 All draws are hashes of (seed, row key, unit number, draw number): the same row key and text get the same pieces in every run.
 
-The lattice is filtered once for each distinct unit of CHUNK bytes of text; all its units are sampled at once.
+The lattice is filtered once for each distinct unit of CHUNK bytes of text; all its units are sampled at once. A unit of over LONG_UNIT
+bytes is filtered and sampled by itself, place by place, in parts of PART bytes, with its exact chances too; all that is held of it whole
+is one sum for each byte.
 Decoding joins pieces and bytes; it gives back every text exactly, U+2581 in a text included, as that is encoded by its bytes.
 A null text has null ids and decodes to null; an empty text has no ids. Rows of equal keys and texts have equal ids; a null key
 is a key of its own. Other columns are kept; columns with the names added are replaced.
@@ -16,7 +18,12 @@ is a key of its own. Other columns are kept; columns with the names added are re
 
 from __future__ import annotations
 
+import hashlib
+import math
+import os
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +35,15 @@ from . import textkit as K
 from .common import map_texts
 
 SIGN = "▁"
-#: A unit of more bytes is cut, between characters.
-MOST_BYTES = 512
+#: Units of more bytes are filtered by themselves.
+LONG_UNIT = 1_024
+#: Bytes of a long unit whose edges are held at once.
+PART = 1 << 16
 HIGH = np.uint64(42)
 #: Bytes of text whose lattices are filtered together.
 CHUNK = 1 << 20
-DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the model file is unless Settings name one: the variable GRIDSMITH_PIECE_MODEL on the driver, else this path.
+DEFAULT_MODEL = os.environ.get("GRIDSMITH_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 @dataclass(frozen=True)
@@ -105,31 +115,13 @@ def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space, feed = data == 32, data == 10
     begin = feed | (space & ~np.concatenate([[False], space[:-1]])) | np.concatenate([[False], feed[:-1]])
     begin[at[:-1][at[:-1] < n]] = True
-    start = np.flatnonzero(begin)
-    size = np.diff(np.append(start, n))
-    for k in np.flatnonzero(size > MOST_BYTES).tolist():
-        lead = np.flatnonzero((data[start[k] : start[k] + size[k]] & 0xC0) != 0x80)
-        cut = lead[np.unique(np.searchsorted(lead, np.arange(MOST_BYTES, size[k], MOST_BYTES), "right") - 1)]
-        begin[start[k] + cut] = True
     start = np.append(np.flatnonzero(begin), n)
     return start, np.searchsorted(start[:-1], at)
 
 
-@dataclass
-class Lattices:
-    """Edges of distinct units by the byte they end at."""
-
-    last: np.ndarray  # each unit's last byte, a node
-    key: np.ndarray  # an edge's cumulative chance within its node, plus the node
-    back: np.ndarray  # the node an edge comes from, -1 for the unit's start
-    piece: np.ndarray  # its id
-    first: np.ndarray  # each node's first edge
-
-
-def lattices(v: Vocabulary, x: np.ndarray, start: np.ndarray) -> Lattices:
-    """The filtered lattices of units of bytes x that begin at start, the end of x included."""
+def found_edges(v: Vocabulary, x: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(last byte, size, piece id, weight) of every edge of units of bytes x; base is the place where each byte's unit begins."""
     n = len(x)
-    base = np.repeat(start[:-1], np.diff(start))
     sums = K.prefix_sums(x)
     lead = (x & 0xC0) != 0x80
     of_char = np.maximum.accumulate(np.where(lead, np.arange(n), 0)) if n else base
@@ -156,8 +148,28 @@ def lattices(v: Vocabulary, x: np.ndarray, start: np.ndarray) -> Lattices:
     ids.append(v.byte_ids[x[e]])
     weights.append(np.full(len(e), -8.0))
     end, back, piece, w = (np.concatenate(c) for c in (ends, froms, ids, weights))
+    return end, end - back, piece, w
+
+
+@dataclass
+class Lattices:
+    """Edges of distinct units by the byte they end at."""
+
+    last: np.ndarray  # each unit's last byte, a node
+    key: np.ndarray  # an edge's cumulative chance within its node, plus the node
+    back: np.ndarray  # the node an edge comes from, -1 for the unit's start
+    piece: np.ndarray  # its id
+    first: np.ndarray  # each node's first edge
+
+
+def lattices(v: Vocabulary, x: np.ndarray, start: np.ndarray) -> Lattices:
+    """The filtered lattices of units of bytes x that begin at start, the end of x included."""
+    n = len(x)
+    base = np.repeat(start[:-1], np.diff(start))
+    end, size, piece, w = found_edges(v, x, base)
+    back = end - size
     # Keys of sorts are all different, so that every machine sorts alike; a node has one edge of each size.
-    size = np.minimum(end - back, 1023)
+    size = np.minimum(size, 1023)
     depth = end - base[end]
     back = np.where(back < base[end], -1, back)
     order = np.argsort((depth * n + end) << 10 | size)
@@ -199,19 +211,99 @@ def distinct(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return number, first
 
 
+def unit_runs(start: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of units: each long one by itself, and between these as many as make CHUNK bytes."""
+    n, a = len(start) - 1, 0
+    for k in [*np.flatnonzero(np.diff(start) > LONG_UNIT).tolist(), n]:
+        for lo, hi in K.chunks(start[a : k + 1], CHUNK):
+            yield a + lo, a + hi
+        if k < n:
+            yield k, k + 1
+        a = k + 1
+
+
 def sample(v: Vocabulary, data: np.ndarray, at: np.ndarray, row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows and each row's first."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     start, first = units(data, at)
+    n_units = len(start) - 1
+    row = np.searchsorted(first, np.arange(n_units), "right") - 1
+    salt = K.mix(row_keys[row] ^ K.mix((np.arange(n_units) - first[row]).astype(np.uint64)))
+    parts, sizes = [], np.zeros(n_units, np.int64)
+    for a, b in unit_runs(start):
+        x = data[start[a] : start[b]]
+        if len(x) > LONG_UNIT and b == a + 1:
+            ids = sample_long(v, x, salt[a])
+            sizes[a] = len(ids)
+        else:
+            ids, sizes[a:b] = sample_units(v, x, start[a : b + 1] - start[a], salt[a:b])
+        parts.append(ids)
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])[first]
+
+
+def edges(v: Vocabulary, x: np.ndarray, a: int, b: int) -> tuple[list[int], list[int], list[float], list[int]]:
+    """The edges that end at bytes a to b of the unit x, by end and size: (first edge of each byte, sizes, weights, ids)."""
+    # Back to a character's start that is far enough for any piece.
+    lo = max(0, a - max(v.lengths) - 4)
+    while lo and x[lo] & 0xC0 == 0x80:
+        lo -= 1
+    hi = b
+    while hi < len(x) and x[hi] & 0xC0 == 0x80:
+        hi += 1
+    end, size, piece, w = found_edges(v, x[lo:hi], np.zeros(hi - lo, np.int64))
+    keep = (end >= a - lo) & (end < b - lo)
+    end, size, piece, w = end[keep], size[keep], piece[keep], w[keep]
+    order = np.lexsort((size, end))
+    bounds = np.searchsorted(end[order], np.arange(a - lo, b - lo + 1))
+    return bounds.tolist(), size[order].tolist(), w[order].tolist(), piece[order].tolist()
+
+
+def sample_long(v: Vocabulary, x: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """The ids of one long unit: sums forward over all places, then draws backward, part by part."""
+    n = len(x)
+    # total[i] is the logarithm of the sum over all paths to the place behind i bytes; none reach the inside of some characters.
+    total = [0.0] + [-math.inf] * n
+    exp, log = math.exp, math.log
+    for a in range(0, n, PART):
+        b = min(a + PART, n)
+        bounds, size, w, _ = edges(v, x, a, b)
+        for i in range(b - a):
+            t = [w[k] + total[a + i + 1 - size[k]] for k in range(bounds[i], bounds[i + 1])]
+            if t and (top := max(t)) > -math.inf:
+                total[a + i + 1] = top + log(sum([exp(y - top) for y in t]))
+    out: list[int] = []
+    place, held_from = n, n
+    keys = np.array([salt], np.uint64)
+    draws: list[float] = []
+    while place:
+        if place <= held_from:
+            held_from = max(0, place - PART)
+            bounds, size, w, piece = edges(v, x, held_from, place)
+        i = place - 1 - held_from
+        if len(out) >= len(draws):
+            at = np.arange(len(draws), len(draws) + 4_096)
+            draws += uniform_draws(keys, at).tolist()
+        left = draws[len(out)] * (1 - 1e-9)
+        for k in range(bounds[i], bounds[i + 1]):
+            chance = exp(w[k] + total[place - size[k]] - total[place])
+            chosen = k
+            left -= chance
+            if left < 0:
+                break
+        out.append(piece[chosen])
+        place -= size[chosen]
+    return np.array(out[::-1], np.int64)
+
+
+def sample_units(v: Vocabulary, data: np.ndarray, start: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each unit) of units that are not long."""
     number, of = distinct(data, start)
     size = np.diff(start)[of]
     own = np.concatenate([[0], np.cumsum(size)])
     x = data[np.repeat(start[of] - own[:-1], size) + np.arange(own[-1])]
     lat = lattices(v, x, own)
     n_units = len(start) - 1
-    row = np.searchsorted(first, np.arange(n_units), "right") - 1
-    salt = K.mix(row_keys[row] ^ K.mix((np.arange(n_units) - first[row]).astype(np.uint64)))
     # In the order of their texts, units look up places close to each other.
     who = np.argsort(number * n_units + np.arange(n_units))
     node, got, draw = lat.last[number[who]], [], 0
@@ -231,11 +323,23 @@ def sample(v: Vocabulary, data: np.ndarray, at: np.ndarray, row_keys: np.ndarray
     ids = np.empty(end[-1], np.int64)
     for d, (w, p) in enumerate(got):
         ids[end[w] - 1 - d] = p
-    return ids, np.concatenate([[0], end])[first]
+    return ids, n
+
+
+def uniform_draws(key: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """uniform() of one key for several draws."""
+    return (K.mix(key + (draws.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
+def key_number(v: Any) -> int:
+    """A whole number as it is, any other key by a digest of all its text."""
+    if v is None:
+        return 0x5EED
+    return v & ((1 << 64) - 1) if isinstance(v, int) else int.from_bytes(hashlib.blake2b(str(v).encode(), digest_size=8).digest(), "little")
 
 
 def row_key(values: list, seed: int) -> np.ndarray:
-    x = np.array([0x5EED if v is None else (v if isinstance(v, int) else int.from_bytes(str(v).encode()[:8], "little")) & ((1 << 64) - 1) for v in values], np.uint64)
+    x = np.array([key_number(v) for v in values], np.uint64)
     return K.mix(x * np.uint64(0x2545F4914F6CDD1D | 1) + np.uint64(seed))
 
 

@@ -299,22 +299,34 @@ def test_language_id(spark, docs):
 def test_phrases_are_longest_matches():
     samples = (b"the cat sat on the mat ", b"aaabbb aab ")
     model = langid.Model(("x", "y"), samples)
-    texts = [b"the mat sat the cat zzz", b"aabbaa b", b"q" * 300, b"the cat " * 90]
+    texts = [b"the mat sat the cat zzz", b"aabbaa b", b"q" * 300, b"the cat " * 90, b"", b"aabbaabba" * 400, b"the cat sat on the mat aaabbb aab " * 70]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = langid.phrases(model, np.frombuffer(b"".join(texts), np.uint8), at)
     for row, t in zip(got, texts):
         for n, sample in zip(row, samples):
-            want = 0
-            for lo in range(0, len(t), langid.SEGMENT):
-                phrase = b""
-                for c in t[lo : lo + langid.SEGMENT]:
-                    if phrase + bytes([c]) in sample:
-                        phrase += bytes([c])
-                    else:
-                        want += 1
-                        phrase = bytes([c]) if bytes([c]) in sample else b""
-                want += 1
-            assert n == want
+            want, phrase = 0, b""
+            for c in t:
+                if phrase + bytes([c]) in sample:
+                    phrase += bytes([c])
+                else:
+                    want += 1
+                    phrase = bytes([c]) if bytes([c]) in sample else b""
+            assert n == want + (len(t) > 0)
+
+
+def test_language_samples_are_whole_documents(docs):
+    texts = ["a b " * 30_000, "first text", "second text", None, "", "third " * 2_000, "fourth " * 3_000]
+    table = docs([(i * 5 + 3, t) for i, t in enumerate(texts)]).filter(~quality.held_out(F.col("doc_id")))
+    of = {r["doc_id"]: r["text"] for r in table.collect()}
+    sample = langid.train(table).samples[0].decode()
+    whole = {k: "".join(langid.symbols(*K.utf8(pa.array([t])))[0].tobytes().decode()) + " " for k, t in of.items() if t is not None}
+    rest = sample
+    for k in sorted(whole, key=lambda k: -len(whole[k])):
+        if whole[k] and len(whole[k]) > 1 and whole[k] in rest:
+            rest = rest.replace(whole[k], "", 1)
+    assert not rest.strip() and len(sample) <= 33_000
+    # A language that has only a long document learns from all of it.
+    assert len(langid.train(table.filter(F.length("text") > 100_000)).samples[0]) > 32_768 or not any(len(t or "") > 100_000 for t in of.values())
 
 
 def test_language_id_on_odd_tables(odd, none):
@@ -373,6 +385,33 @@ def test_pieces_are_lossless_and_reproducible(odd, none, docs):
     assert other != pieces.encode(docs([(1, "reproducible segmentation " * 20)])).first()["piece_ids"]
 
 
+def test_long_units_are_filtered_exactly(monkeypatch):
+    v = pieces.load()
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("abcdenorst"), 900)) + "漢é" * 60 + "\U0001f600z" * 9
+    x = np.frombuffer(text.encode(), np.uint8)
+    keys = np.arange(1, 4, dtype=np.uint64)
+    short = [pieces.sample_units(v, x, np.array([0, len(x)]), np.array([k]))[0].tolist() for k in keys]
+    for part in (1 << 16, 100, 7):
+        monkeypatch.setattr(pieces, "PART", part)
+        assert [pieces.sample_long(v, x, k).tolist() for k in keys] == short
+    # Units around long ones, a text of many runs, and rows that end in the middle.
+    texts = ["one two " + "y" * 3_000 + " three", "", "q" * 1_025, "plain words " * 20, "é" * 700 + "\n\n" + " " * 1_500 + "x"]
+    data, at = K.utf8(pa.array(texts))
+    whole = pieces.sample(v, data, at, pieces.row_key(list(range(5)), 1))
+    monkeypatch.setattr(pieces, "CHUNK", 64)
+    again = pieces.sample(v, data, at, pieces.row_key(list(range(5)), 1))
+    assert whole[0].tolist() == again[0].tolist() and whole[1].tolist() == again[1].tolist()
+    for t, a, b in zip(texts, whole[1][:-1], whole[1][1:]):
+        assert b"".join(v.texts[i] for i in whole[0][a:b]).decode() == t
+    # Pieces cross what was once a cut.
+    assert max(len(v.texts[i]) for i in whole[0][whole[1][0] : whole[1][1]]) > 1
+
+
+def test_row_keys_are_told_apart_by_all_their_text():
+    assert len(set(pieces.row_key(["document-1", "document-2", None, 1, 2, "1"], 1).tolist())) == 6
+
+
 def test_segmentations_have_their_exact_chance():
     v = pieces.load()
     word = "token"
