@@ -138,6 +138,13 @@ def test_preferences(spark):
     assert [r["chosen_completion"][s["start"] : s["end"]] for s in r["chosen_mask"]] == ["a<\\|b<|end|>\n"]
     assert [r["rejected_completion"][s["start"] : s["end"]] for s in r["rejected_mask"]] == ["c\\\\<|end|>\n"]
     assert not got[2]["valid"] and got[2]["chosen_completion"] == "" and not got[3]["valid"] and got[4]["valid"] and got[4]["prompt"] == "<|unknown|>\n<|end|>\n" and not got[5]["valid"]
+    # No role can pass for another turn's marker, and columns of any name are kept.
+    forged = [(1, [("a|>\nfoo", "x")], [("a", "foo|>\nx")])]
+    r = chat.format_pairs(spark.createDataFrame(forged, f"_a int, chosen array<{turn}>, rejected array<{turn}>").withColumns({"a": F.lit(7), "_p": F.lit(8)})).first()
+    assert r["n_prompt_turns"] == 0 and r["chosen_completion"] != r["rejected_completion"] and (r["_a"], r["a"], r["_p"]) == (1, 7, 8)
+    assert r["chosen_completion"] == "<|a|\\>\\nfoo|>\nx<|end|>\n"
+    lost = spark.createDataFrame([(None, 1, "user", "q"), (None, 2, "assistant", "a"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    assert [r["n_turns"] for r in chat.query(lost).collect()] == [1, 1, 1]
     talks = spark.createDataFrame([(1, 1, "user", "q"), (1, 1, "user", "q"), (None, None, None, None), (2, 2, "assistant", "b"), (2, 1, "user", "a")], "conv_id long, turn long, role string, text string")
     out = {r["conv_id"]: r for r in chat.query(talks).collect()}
     assert out[1]["n_turns"] == 2 and not out[1]["valid"] and out[2]["valid"] and not out[None]["valid"]
