@@ -1,6 +1,7 @@
 """Each operator against brute force, and on odd tables."""
 
 import collections
+import functools
 import hashlib
 import re
 
@@ -8,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from gridsmith.llm import chat, components, decontam, fingerprint, langid, line_dedup, lm, minhash, pieces, quality, queries, suffix_dedup
@@ -458,6 +460,54 @@ def test_fingerprints(spark, docs):
     assert got[6]["near_next"] == 1.0 and 0 <= got[0]["near_edited"] <= 1
 
 
+def brute_fingerprint(text):
+    """One-permutation MinHash, bin by bin, over the same hashes."""
+    words = [w for w in re.split(r"[ \t-\r]+", text.lower()) if w]
+    if not words:
+        return None
+    h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
+    chained = lambda part: functools.reduce(lambda seed, x: xxhash.xxh64(x.to_bytes(8, "little"), seed=seed).intdigest(), part, 42)
+    least = [None] * fingerprint.BINS
+    for x in {chained(h[i : i + 5]) for i in range(max(1, len(h) - 4))}:
+        b, v = x % 128, x >> 7 & (1 << 56) - 1
+        least[b] = v if least[b] is None else min(least[b], v)
+    order = [[row[b] for row in fingerprint.probes()] for b in range(128)]
+    assert all(sorted(o) == list(range(128)) for o in order)
+    return [(least[b] if least[b] is not None else next(least[k] for k in order[b] if least[k] is not None)) & 255 for b in range(128)]
+
+
+def test_fingerprints_against_brute_force(spark, docs):
+    rng = np.random.default_rng(6)
+    words = [f"W{i}f" for i in range(300)] + ["f", "é", "漢字", "x" * 300]
+    texts = [" ".join(rng.choice(words, n)) for n in (900, 300, 60, 12, 6, 5, 4, 1)] + [" \t\n\v\f\r", "", None, "\n a\tb "]
+    got = {r["doc_id"]: r for r in fingerprint.query(docs(list(enumerate(texts)))).collect()}
+    order = sorted(got, reverse=True)
+    for i, k in enumerate(order):
+        t, nxt = texts[k] or "", texts[order[(i + 1) % len(order)]] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        own, of_edited, of_next = map(brute_fingerprint, (t, edited, nxt))
+        assert got[k]["fingerprint"] == ("" if own is None else bytes(own).hex())
+        assert got[k]["edited_fingerprint"] == ("" if of_edited is None else bytes(of_edited).hex())
+        for name, other in (("near_edited", of_edited), ("near_next", of_next)):
+            if own is None or other is None:
+                want = float(own is other)
+            else:
+                want = max(0.0, (sum(map(int.__eq__, own, other)) / 128 - 1 / 256) / (1 - 1 / 256))
+            assert abs(got[k][name] - want) < 1e-8
+
+
+def test_fingerprints_of_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_PER_GROUP", 3)
+    ids = [f"document-{i:05d}" for i in range(40)]
+    df = spark.createDataFrame([(k, f"text {k} " * 3) for k in ids] + [("document-00007", "text again"), (None, "without id")], "doc_id string, text string")
+    got = fingerprint.with_next(df.withColumn("_g", F.lit(1)), ["text"]).collect()
+    assert len(got) == 42 and "_g" in got[0]
+    nxt = {(r["doc_id"], r["text"]): r["next_text"] for r in got}
+    for a, b in zip(ids[1:], ids):
+        assert b == "document-00007" or a == "document-00007" or nxt[(a, f"text {a} " * 3)] == f"text {b} " * 3
+    assert nxt[("document-00000", "text document-00000 " * 3)] == "without id" and nxt[(None, "without id")] == "text document-00039 " * 3
+
+
 def test_likeness_estimates_jaccard(spark):
     rng = np.random.default_rng(9)
     base = [f"w{x}" for x in rng.integers(0, 9_999, 600)]
