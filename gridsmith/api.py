@@ -119,7 +119,9 @@ def lenient(schema: type, table: Any, *, context: Any = None, **options: Any) ->
     c = convert(schema, frame_of(schema, table, data, **options), data.user_data)
     c, ambiguous = R.resolve(c)
     c = C.check_records(c, data)
-    parts = [c.df.select("_table_id", F.explode("_diag").alias("d")).select("_table_id", "d.*")]
+    # explode_outer, as from explode() the optimizer would infer a filter that computes all diagnostics a second time.
+    own = c.df.select("_table_id", F.explode_outer("_diag").alias("d")).filter(F.col("d").isNotNull())
+    parts = [own.select("_table_id", "d.*")]
     parts += [x for x in (c.header, ambiguous, C.check_tables(c)) if x is not None]
     total = parts[0]
     for x in parts[1:]:
@@ -138,7 +140,7 @@ def failed(schema: type, found: list[Diagnostic]) -> Result:
     spark, plan = session(), schema.__plan__
     rows = spark.createDataFrame([to_row(d, D.INPUT, 0, 0, i) for i, d in enumerate(found)], D.DIAGNOSTIC).withColumn("_table_id", F.lit(""))
     kinds = ", ".join(f"`{f.name}` {f.dtype.simpleString()}" for f in plan.fields.values())
-    system = "_table_id string, _ordinal bigint, _row int, _column int, _uri string, _item string, _variant string, _extras map<string,string>, _source string"
+    system = "_table_id string, _ordinal bigint, _row int, _column int, _uri string, _item string, _variant string, _extras map<string,string>, _source string, _ok boolean"
     empty = spark.createDataFrame([], f"{system}{', ' if kinds else ''}{kinds}").withColumn("_diag", F.array().cast("array<" + D.DIAGNOSTIC.simpleString() + ">"))
     return Result(plan, empty, rows, True)
 

@@ -7,19 +7,31 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
 class ParsedExpr:
-    """value is null wherever error is not; error is the observable message."""
+    """value is null wherever error is not; error is the observable message.
+
+    bad, where it is given, says whether there is an error without the cost of its message.
+    """
 
     value: Column
     error: Column
     dtype: T.DataType
     code: Column | None = None
+    bad: Column | None = None
+    #: Whether there is never an error.
+    sure: bool = False
+
+    @property
+    def failed(self) -> Column:
+        if self.sure:
+            return F.lit(False)
+        return self.error.isNotNull() if self.bad is None else self.bad
 
 
 @dataclass(frozen=True)
@@ -34,6 +46,47 @@ class CellColumns:
     source_value: Column
     source_uri: Column
     user_data: Any = None
+    #: Gives a name to an expression that is used more than once, so that it is computed once; see Binder.
+    bind: Callable[[Column], Column] | None = None
+
+
+class Binder:
+    """Named expressions, in levels: those of one level are one projection, over the columns of the levels before.
+
+    Catalyst doesn't fold a projection into the next where a column that isn't cheap is used more than once, so each is computed once.
+    A chain is the expressions of one cell: each may use those before it, so the n-th of every chain is of level n.
+    """
+
+    def __init__(self, prefix: str):
+        self.prefix = prefix
+        self.levels: list[dict[str, Column]] = []
+        self.made = 0
+
+    def chain(self) -> Callable[[Column], Column]:
+        depth = 0
+
+        def bind(c: Column) -> Column:
+            nonlocal depth
+            if depth == len(self.levels):
+                self.levels.append({})
+            name = f"{self.prefix}{self.made}"
+            self.levels[depth][name] = c
+            depth, self.made = depth + 1, self.made + 1
+            return F.col(name)
+
+        return bind
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """df with all named expressions; the binder is empty afterwards."""
+        for level in self.levels:
+            df = df.withColumns(level)
+        self.levels = []
+        return df
+
+
+def let(cell: CellColumns | None, c: Column) -> Column:
+    """c under a name, where the cell's plan can give it one."""
+    return c if cell is None or cell.bind is None else cell.bind(c)
 
 
 NAMED: dict[str, T.DataType] = {
@@ -104,7 +157,15 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
-def fail_unless(ok: Column, value: Column, message: Column, dtype: T.DataType, given: Column) -> ParsedExpr:
+def fail_unless(ok: Column, value: Column, message: Column, dtype: T.DataType, given: Column, cell: CellColumns | None = None) -> ParsedExpr:
     """value where ok; the message where not, except for null input, which stays null."""
-    good = F.coalesce(ok, F.lit(False))
-    return ParsedExpr(F.when(good, value).cast(dtype), F.when(given.isNotNull() & ~good, message), dtype)
+    good = let(cell, F.coalesce(ok, F.lit(False)))
+    bad = given.isNotNull() & ~good
+    return ParsedExpr(F.when(good, value).cast(dtype), F.when(bad, message), dtype, bad=bad)
+
+
+def fail_null(value: Column, message: Column, dtype: T.DataType, given: Column, cell: CellColumns | None = None) -> ParsedExpr:
+    """value; the message where it is null though something was given."""
+    value = let(cell, value.cast(dtype))
+    bad = given.isNotNull() & value.isNull()
+    return ParsedExpr(value, F.when(bad, message), dtype, bad=bad)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from datetime import date as Date
 from datetime import datetime as DateTime
 from decimal import Decimal
@@ -15,19 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import strptime
-from .parsed import NO_ERROR, CellColumns, ParsedExpr, Parser, as_text, fail_unless, quoted, type_of
+from .parsed import NO_ERROR, CellColumns, ParsedExpr, Parser, as_text, fail_null, fail_unless, let, quoted, type_of
 
-#: White space as Python strips it; Java's Unicode class lacks the four separators.
-WHITE = "[\\s\\x1c-\\x1f]"
+# The characters that Unicode calls white space; Python strips the four ASCII separators too, but not around numbers.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)\\A{WHITE}+|{WHITE}+\\z", "")
+    return F.btrim(c, F.lit(SPACES + SEPARATORS))
 
 
 def bare(c: Column) -> Column:
     """Text of a number without outer white space; numbers allow none of the ASCII separators."""
-    return F.regexp_replace(c, "(?U)\\A\\s+|\\s+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def _stripped(c: Column, on: bool) -> Column:
@@ -42,7 +44,7 @@ def string(*, strip: bool = False, lower: bool = False, upper: bool = False) ->
 
     def build(c, dtype, cell):
         c = _stripped(as_text(c, dtype), trim)
-        return ParsedExpr(F.lower(c) if lower else F.upper(c) if upper else c, NO_ERROR(), T.StringType())
+        return ParsedExpr(F.lower(c) if lower else F.upper(c) if upper else c, NO_ERROR(), T.StringType(), sure=True)
 
     return Parser("string", build, f"string(strip={trim}, lower={lower}, upper={upper})")
 
@@ -57,29 +59,26 @@ def integer(*, base: int = 10) -> Parser:
         low, high = "0123456789abcdefghijklmnopqrstuvwxyz"[:b], "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:b]
         digit = f"[{re.escape(low)}{re.escape(high)}]"
         ok = t.rlike(f"\\A[+-]?{prefix}{digit}+(_{digit}+)*\\z")
-        digits = F.replace(F.regexp_replace(t, f"\\A[+-]?{prefix}", ""), F.lit("_"), F.lit(""))
         if b == 10:
-            return ok, F.concat(F.when(t.startswith("-"), "-").otherwise(""), digits).try_cast("bigint")
+            return ok, F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint")
+        digits = F.replace(F.regexp_replace(t, f"\\A[+-]?{prefix}", ""), F.lit("_"), F.lit(""))
         # conv works with 64 bits and saturates, so values beyond 63 bits are told by the decimal.
         value = F.conv(digits, b, 10).try_cast("decimal(20,0)")
-        short = F.length(F.regexp_replace(digits, "^0+", "")) <= int(64 / (b.bit_length() - 1)) + 1
-        return ok & short, (F.when(t.startswith("-"), -value).otherwise(value)).try_cast("bigint")
+        short = F.length(F.ltrim(digits, F.lit("0"))) <= int(64 / (b.bit_length() - 1)) + 1
+        return ok, F.when(short, F.when(t.startswith("-"), -value).otherwise(value)).try_cast("bigint")
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        t = bare(c)
+        t = let(cell, bare(c))
         prefixed = {2: "(?:0[bB]_?)?", 8: "(?:0[oO]_?)?", 16: "(?:0[xX]_?)?"}
         if base:
-            ok, value = in_base(t, base, prefixed.get(base, ""))
+            forms = [in_base(t, base, prefixed.get(base, ""))]
         else:
             forms = [in_base(t, b, p) for b, p in ((2, "0[bB]_?"), (8, "0[oO]_?"), (16, "0[xX]_?"))]
             ten_ok, ten = in_base(t, 10, "")
             forms.append((ten_ok & t.rlike("\\A[+-]?([1-9].*|0[0_]*)\\z"), ten))
-            ok, value = F.lit(False), F.lit(None).cast("bigint")
-            for o, v in forms:
-                ok, value = ok | o, F.when(o, v).otherwise(value)
-        message = F.concat(F.lit(f"invalid literal for int() with base {base}: "), quoted(c))
-        return fail_unless(ok & value.isNotNull(), value, message, long, c)
+        value = F.coalesce(*(F.when(ok, v) for ok, v in forms))
+        return fail_null(value, F.concat(F.lit(f"invalid literal for int() with base {base}: "), quoted(c)), long, c, cell)
 
     return Parser("integer", build, f"integer(base={base})", kind=long)
 
@@ -92,9 +91,9 @@ def floating() -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        t = bare(c)
-        value = F.replace(t, F.lit("_"), F.lit("")).try_cast("double")
-        return fail_unless(t.rlike(FLOAT) & value.isNotNull(), value, F.concat(F.lit("could not convert string to float: "), quoted(c)), T.DoubleType(), c)
+        t = let(cell, bare(c))
+        value = F.when(t.rlike(FLOAT), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
+        return fail_null(value, F.concat(F.lit("could not convert string to float: "), quoted(c)), T.DoubleType(), c, cell)
 
     return Parser("floating", build, "floating()", kind=T.DoubleType())
 
@@ -104,17 +103,19 @@ def decimal(precision: int = 38, scale: int = 18) -> Parser:
     if not 1 <= precision <= 38 or not 0 <= scale <= precision:
         raise ValueError("precision must be from 1 to 38 and scale from 0 to precision")
     kind = T.DecimalType(precision, scale)
+    number = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?\z"
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        t = F.replace(bare(c), F.lit("_"), F.lit(""))
-        shape = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,4})?\z"
-        fraction = F.regexp_replace(F.regexp_extract(t, r"\.([0-9]*)", 1), "0+$", "")
-        power = F.coalesce(F.regexp_extract(t, r"[eE]([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
-        tail = F.length(F.regexp_extract(F.regexp_extract(t, r"\A[+-]?([0-9]*)", 1), "(0*)$", 1))
-        places = F.when(F.length(fraction) > 0, F.length(fraction)).otherwise(-tail) - power
-        value = t.try_cast(kind)
-        return fail_unless(t.rlike(shape) & (places <= scale) & value.isNotNull(), value, F.concat(F.lit("not an exact decimal: "), quoted(c)), kind, c)
+        t = let(cell, F.replace(bare(c), F.lit("_"), F.lit("")))
+        # Digits behind the point, without zeros at the end, less the power of ten; of a whole number, its zeros count backwards.
+        mantissa = F.substring_index(F.lower(t), "e", 1)
+        power = F.when(F.contains(F.lower(t), F.lit("e")), F.substring_index(F.lower(t), "e", -1).try_cast("int")).otherwise(0)
+        fraction = F.when(F.contains(mantissa, F.lit(".")), F.rtrim(F.substring_index(mantissa, ".", -1), F.lit("0"))).otherwise("")
+        whole = F.substring_index(mantissa, ".", 1)
+        places = F.when(fraction != "", F.length(fraction)).otherwise(F.length(F.rtrim(whole, F.lit("0"))) - F.length(whole)) - power
+        value = F.when(t.rlike(number) & (places <= scale), t.try_cast(kind))
+        return fail_null(value, F.concat(F.lit("not an exact decimal: "), quoted(c)), kind, c, cell)
 
     return Parser("decimal", build, f"decimal({precision}, {scale})", kind=kind)
 
@@ -135,9 +136,8 @@ def date(*, format: str = "%Y-%m-%d") -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        ok, parts = read(c)
-        value = strptime.to_date(parts)
-        return fail_unless(ok & value.isNotNull(), value, F.concat(F.lit("time data "), quoted(c), F.lit(f" does not match format {form!r}")), T.DateType(), c)
+        value = read(c, strptime.to_date)
+        return fail_null(value, F.concat(F.lit("time data "), quoted(c), F.lit(f" does not match format {form!r}")), T.DateType(), c, cell)
 
     return Parser("date", build, f"date(format={form!r})", kind=T.DateType())
 
@@ -152,9 +152,8 @@ def datetime(*, format: str = "%Y-%m-%dT%H:%M:%S") -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        ok, parts = read(c)
-        value = strptime.to_instant(parts) if aware else strptime.to_local(parts)
-        return fail_unless(ok & value.isNotNull(), value, F.concat(F.lit("time data "), quoted(c), F.lit(f" does not match format {form!r}")), kind, c)
+        value = read(c, strptime.to_instant if aware else strptime.to_local)
+        return fail_null(value, F.concat(F.lit("time data "), quoted(c), F.lit(f" does not match format {form!r}")), kind, c, cell)
 
     return Parser("datetime", build, f"datetime(format={form!r})", kind=kind)
 
@@ -180,7 +179,8 @@ def boolean(*, true_values: Any = ("true",), false_values: Any = ("false",), cas
     def build(c, dtype, cell):
         c = as_text(c, dtype)
         t = c if case_sensitive else F.lower(c)
-        return fail_unless(t.isin(yes + no), t.isin(yes), F.lit(f"Expected one of {expected}"), T.BooleanType(), c)
+        value = F.when(t.isin(yes), True).when(t.isin(no), False)
+        return fail_null(value, F.lit(f"Expected one of {expected}"), T.BooleanType(), c, cell)
 
     return Parser("boolean", build, f"boolean(true_values={sorted(set(yes))}, false_values={sorted(set(no))}, case_sensitive={case_sensitive})", kind=T.BooleanType())
 
@@ -204,17 +204,24 @@ def choice(*values: str, case_sensitive: bool = True) -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        ok, value = _lookup(c if case_sensitive else F.lower(c), table, T.StringType())
-        return fail_unless(ok, value, F.lit(f"Expected one of {list(values)}"), T.StringType(), c)
+        _, value = _lookup(c if case_sensitive else F.lower(c), table, T.StringType())
+        return fail_null(value, F.lit(f"Expected one of {list(values)}"), T.StringType(), c, cell)
 
     return Parser("choice", build, f"choice({', '.join(map(repr, values))}, case_sensitive={case_sensitive})")
 
 
+def literal_regex(text: str) -> str:
+    """A regular expression of literal text; Java splits by a single escaped sign without compiling one."""
+    if len(text) == 1 and text.isascii():
+        return text if text.isalnum() else "\\" + text
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def split(separator: str = ",", *, strip_items: bool = True, keep_empty: bool = False) -> Parser:
     """A list of the parts between a literal separator."""
     if not isinstance(separator, str) or not separator:
         raise ValueError("separator must be a string that isn't empty")
-    regex = "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    regex = literal_regex(separator)
 
     def build(c, dtype, cell):
         parts = F.split(as_text(c, dtype), regex, -1)
@@ -222,7 +229,7 @@ def split(separator: str = ",", *, strip_items: bool = True, keep_empty: bool =
             parts = F.transform(parts, strip)
         if not keep_empty:
             parts = F.filter(parts, lambda x: x != "")
-        return ParsedExpr(parts, NO_ERROR(), T.ArrayType(T.StringType()))
+        return ParsedExpr(parts, NO_ERROR(), T.ArrayType(T.StringType()), sure=True)
 
     return Parser("split", build, f"split({separator!r}, strip_items={strip_items}, keep_empty={keep_empty})", decode=lambda v: None if v is None else list(v), kind=T.ArrayType(T.StringType()))
 
@@ -248,7 +255,7 @@ def map_value(values: Mapping[str, Any], *, case_sensitive: bool = True) -> Pars
     def build(c, dtype, cell):
         c = as_text(c, dtype)
         ok, value = _lookup(c if case_sensitive else F.lower(c), table, kind)
-        return fail_unless(ok, value, F.concat(F.lit("No mapped value for "), quoted(c)), kind, c)
+        return fail_unless(ok, value, F.concat(F.lit("No mapped value for "), quoted(c)), kind, c, cell)
 
     return Parser("map_value", build, f"map_value({dict(values)!r}, case_sensitive={case_sensitive})", kind=kind)
 
@@ -271,13 +278,13 @@ def compose(*parsers: Any) -> Parser:
 
     def build(c, dtype, cell):
         out = steps[0].apply(c, dtype, cell)
-        error, code = out.error, out.code
+        error, code, bad, sure = out.error, out.code, out.failed, out.sure
         for p in steps[1:]:
-            nxt = p.apply(out.value, out.dtype, cell)
+            nxt = p.apply(let(cell, out.value), out.dtype, cell)
             code = nxt.code if code is None else code if nxt.code is None else F.coalesce(code, nxt.code)
-            error = F.coalesce(error, nxt.error)
+            error, bad, sure = F.coalesce(error, nxt.error), bad | nxt.failed, sure and nxt.sure
             out = nxt
-        return ParsedExpr(F.when(error.isNull(), out.value), error, out.dtype, code)
+        return ParsedExpr(out.value if sure else F.when(~bad, out.value), error, out.dtype, code, bad, sure)
 
     def kind(dtype):
         for p in steps:
@@ -287,6 +294,54 @@ def compose(*parsers: Any) -> Parser:
     return Parser("compose", build, f"compose({', '.join(p.description or p.name for p in steps)})", decode=steps[-1].decode, native=all(p.native for p in steps), kind=kind)
 
 
+class _Named(Exception):
+    """Carries an expression that a parser of items wants to be computed once."""
+
+    def __init__(self, c: Column):
+        super().__init__()
+        self.c = c
+
+
+def each_item(inner: Parser, items: Column, kind: T.DataType, out: T.DataType, cell: CellColumns | None) -> ParsedExpr:
+    """inner for every item. What it uses more than once becomes a list of its own, whose items stand where it is used again."""
+    steps: list[Column] = []
+    sure = False
+
+    def attempt(x: Column, i: Column) -> ParsedExpr:
+        used = 0
+
+        def bind(c: Column) -> Column:
+            nonlocal used
+            used += 1
+            if used > len(steps):
+                raise _Named(c)
+            return F.get(steps[used - 1], i)
+
+        return inner.apply(x, kind, replace(cell, bind=bind) if cell is not None and cell.bind is not None else None)
+
+    while True:
+        named = False
+
+        def item(x: Column, i: Column) -> Column:
+            nonlocal named, sure
+            try:
+                got = attempt(x, i)
+            except _Named as e:
+                named = True
+                return e.c
+            sure = got.sure
+            return got.value if sure else F.struct(got.value.alias("value"), got.error.alias("error"))
+
+        made = let(cell, F.transform(items, item))
+        if not named:
+            break
+        steps.append(made)
+    if sure:
+        return ParsedExpr(made, NO_ERROR(), out, sure=True)
+    error = let(cell, F.get(F.filter(F.transform(made, lambda x: x["error"]), lambda e: e.isNotNull()), F.lit(0)))
+    return ParsedExpr(F.when(error.isNull(), F.transform(made, lambda x: x["value"])), error, out)
+
+
 def each(parser: Any) -> Parser:
     """A parser for every item of a list; the first item that fails is reported."""
     inner = to_parser(parser)
@@ -300,9 +355,7 @@ def each(parser: Any) -> Parser:
             return ParsedExpr(F.lit(None).cast(out), F.when(c.isNotNull(), F.lit("each() needs a list of items")), out)
         if not inner.native:
             raise TypeError("each() over a Python parser: give the Python parser the whole list instead")
-        errors = F.transform(c, lambda x: inner.apply(x, dtype.elementType, cell).error)
-        error = F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0))
-        return ParsedExpr(F.when(error.isNull(), F.transform(c, lambda x: inner.apply(x, dtype.elementType, cell).value)), error, out)
+        return each_item(inner, c, dtype.elementType, out, cell)
 
     return Parser("each", build, f"each({inner.description or inner.name})", decode=(lambda v: None if v is None else [inner.decode(x) for x in v]) if inner.decode else list, native=inner.native, kind=kind)
 
@@ -315,7 +368,8 @@ def optional(parser: Any, *, none_values: Any = ("none", "null"), case_sensitive
         t = as_text(c, dtype)
         none = t.isNull() | (t == "") | ((t if case_sensitive else F.lower(t)).isin(tokens) if tokens else F.lit(False))
         got = inner.apply(c, dtype, cell)
-        return ParsedExpr(F.when(~none, got.value), F.when(~none, got.error), got.dtype, got.code)
+        none = let(cell, none)
+        return ParsedExpr(F.when(~none, got.value), F.when(~none, got.error), got.dtype, got.code, ~none & got.failed)
 
     return Parser("optional", build, f"optional({inner.description or inner.name}, none_values={sorted(set(tokens))}, case_sensitive={case_sensitive})", decode=inner.decode, native=inner.native, kind=inner.out)
 
@@ -331,8 +385,8 @@ def enum(kind: type[Enum]) -> Parser:
 
     def build(c, dtype, cell):
         c = as_text(c, dtype)
-        ok, value = _lookup(c, table, T.StringType())
-        return fail_unless(ok, value, F.concat(F.lit(f"Expected one of {names}, got "), quoted(c)), T.StringType(), c)
+        _, value = _lookup(c, table, T.StringType())
+        return fail_null(value, F.concat(F.lit(f"Expected one of {names}, got "), quoted(c)), T.StringType(), c, cell)
 
     return Parser("enum", build, f"enum({kind.__name__})", decode=lambda v: None if v is None else kind[v])
 
@@ -343,7 +397,7 @@ def literal(*values: str) -> Parser:
 
 
 def identity() -> Parser:
-    return Parser("identity", lambda c, dtype, cell: ParsedExpr(c, NO_ERROR(), dtype), "identity()", kind=lambda dtype: dtype)
+    return Parser("identity", lambda c, dtype, cell: ParsedExpr(c, NO_ERROR(), dtype, sure=True), "identity()", kind=lambda dtype: dtype)
 
 
 def custom(function: Callable[[Any, Any], Any], *, returns: T.DataType | str = "string", name: str | None = None) -> Parser:
@@ -359,7 +413,7 @@ def custom(function: Callable[[Any, Any], Any], *, returns: T.DataType | str = "
         from ..hooks import cell_udf
 
         got = cell_udf(function, kind, cell)(F.struct(c.alias("value"), cell.row.alias("row"), cell.column.alias("column"), cell.item_id.alias("item_id"), cell.source_value.alias("source_value"), cell.source_uri.alias("source_uri")))
-        got = F.when(c.isNotNull(), got)
+        got = let(cell, F.when(c.isNotNull(), got))
         return ParsedExpr(got["value"], got["error"], kind, got["code"])
 
     return Parser(name or getattr(function, "__qualname__", type(function).__qualname__), build, name or getattr(function, "__qualname__", type(function).__qualname__), native=False, kind=kind)

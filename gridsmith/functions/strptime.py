@@ -31,8 +31,13 @@ SEPARATOR = "\x01"
 Parts = dict[str, Column]
 
 
-def compile(format: str) -> Callable[[Column], tuple[Column, Parts]] | None:
-    """A function from text to (matches, parts); None if a directive is not known here."""
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, wherever the optimizer copies the whole expression to."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def compile(format: str) -> Callable[[Column, Callable[[Parts], Column]], Column] | None:
+    """A function from text and what to make of its parts to that, null where it doesn't match; None if a directive is not known here."""
     pattern, names, i = "", [], 0
     while i < len(format):
         ch = format[i]
@@ -59,10 +64,12 @@ def compile(format: str) -> Callable[[Column], tuple[Column, Parts]] | None:
         return None
     whole = f"(?i)\\A{pattern}\\z"
 
-    def read(c: Column) -> tuple[Column, Parts]:
-        groups = SEPARATOR.join(f"${k + 1}" for k in range(len(names)))
-        found = F.split(F.regexp_replace(c, whole, groups), SEPARATOR)
-        return c.rlike(whole), {n: F.get(found, F.lit(k)) for k, n in enumerate(names)}
+    def read(c: Column, make: Callable[[Parts], Column]) -> Column:
+        # One replacement both matches and takes apart: only a text that matches has the separators afterwards.
+        groups = "".join(f"{SEPARATOR}${k + 1}" for k in range(len(names))) or SEPARATOR
+        pieces = F.split(F.regexp_replace(F.when(~F.contains(c, F.lit(SEPARATOR)), c), whole, groups), SEPARATOR)
+        size = max(len(names), 1) + 1
+        return once(pieces, lambda p: F.when(F.size(p) == size, make({n: F.get(p, F.lit(k + 1)) for k, n in enumerate(names)})))
 
     return read
 
@@ -91,13 +98,17 @@ def month(p: Parts) -> Column:
 
 
 def to_date(p: Parts) -> Column:
-    y = F.lpad(year(p).cast("string"), 4, "0")
     if "j" in p:
-        first = F.try_to_date(F.concat(y, F.lit("-01-01")), "yyyy-MM-dd")
         # Day 366 of a shorter year is the next year's first, as it is for strptime.
-        return F.date_add(first, number(p, "j", 1) - 1)
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return F.try_to_date(F.concat(y, F.lit("-"), two(month(p)), F.lit("-"), two(number(p, "d", 1))), "yyyy-MM-dd")
+        return once(year(p), lambda y: F.when(y >= 1, F.date_add(F.make_date(y, F.lit(1), F.lit(1)), number(p, "j", 1) - 1)))
+
+    def valid(x: Column) -> Column:
+        y, m, d = x["y"], x["m"], x["d"]
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        return F.when((y >= 1) & (d <= last), F.make_date(y, m, d))
+
+    return once(F.struct(year(p).alias("y"), month(p).alias("m"), number(p, "d", 1).alias("d")), valid)
 
 
 def seconds(p: Parts) -> Column:
@@ -112,17 +123,20 @@ def seconds(p: Parts) -> Column:
     return F.when(s < 60, ((hour * 3600 + number(p, "M", 0) * 60 + s).cast("bigint") * 1_000_000) + micros)
 
 
+def micros_of(p: Parts) -> Column:
+    """Microseconds since 1970 in the text's own zone."""
+    return F.unix_date(to_date(p)).cast("bigint") * 86_400_000_000 + seconds(p)
+
+
 def to_local(p: Parts) -> Column:
-    day = to_date(p)
-    micros = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000 + seconds(p)
     # Microseconds added to a local time: no session zone takes part.
-    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", micros_of(p), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def to_instant(p: Parts) -> Column:
     z = p["z"]
-    digits = F.replace(F.regexp_extract(z, r"^[+-]([0-9:]+)", 1), F.lit(":"), F.lit(""))
+    # +hh:mm:ss or +hhmm; Z has no digits.
+    digits = F.when(z != "Z", F.replace(F.substring(z, 2, 8), F.lit(":"), F.lit("")))
     part = lambda at: F.coalesce(F.substring(digits, at, 2).try_cast("int"), F.lit(0))
     offset = (part(1) * 3600 + part(3) * 60 + part(5)) * F.when(z.startswith("-"), -1).otherwise(1)
-    micros = F.datediff(to_date(p), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000 + seconds(p)
-    return F.timestamp_micros(micros - offset.cast("bigint") * 1_000_000)
+    return F.timestamp_micros(micros_of(p) - offset.cast("bigint") * 1_000_000)

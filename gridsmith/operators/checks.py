@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import diagnostics as D
 from ..context import ParseContext
 from ..diagnostics import Diagnostic, SchemaDefinitionError, TableError, TableErrors, to_row
-from ..plans.records import DIAGS, Converted
+from ..plans.records import DIAGS, Converted, any_of
 from ..schema import Plan
 from .references import no_errors
 from .shape import diag
@@ -122,11 +122,13 @@ def checks_of(plan: Plan) -> list[tuple[str | None, Plan, int, Any]]:
 
 def check_records(c: Converted, context: ParseContext) -> Converted:
     """Failed record checks, then failed Python hooks, behind the diagnostics of each record that has no error yet."""
-    made = []
+    made, failed = [], []
     for v, p, i, k in checks_of(c.plan):
         bad = F.coalesce(~column_of(k.condition), F.lit(False))
         if v is not None:
-            bad = bad & (F.col("_variant") == v)
+            bad = bad & F.coalesce(F.col("_variant") == v, F.lit(False))
+        if k.severity == D.ERROR:
+            failed.append(bad)
         if k.at is None:
             at = {"row": F.col("_row"), "column": F.col("_column"), "uri": F.col("_uri")}
         else:
@@ -136,7 +138,9 @@ def check_records(c: Converted, context: ParseContext) -> Converted:
         made.append(F.when(bad, diag(k.code, k.message, phase=D.VALIDATION, step=0, step_ordinal=i, schema=p.name, severity=k.severity, item=F.col("_item"), ordinal=F.col("_ordinal"), **at)))
     df = c.df
     if made:
-        df = df.withColumn("_diag", F.when(no_errors(), F.concat("_diag", F.array_compact(F.array(*made)))).otherwise(F.col("_diag")).cast(DIAGS))
+        # Records with an error keep what they have; others have no diagnostic yet.
+        checked = F.when(no_errors(), F.array_compact(F.array(*made))).otherwise(F.array().cast(DIAGS))
+        df = df.withColumns({"_diag": F.concat("_diag", checked).cast(DIAGS), "_ok": F.col("_ok") & ~any_of(failed)})
     hooks = {None if v is None else str(getattr(v, "name", v)): p for v, p in [(None, c.plan), *c.plan.variants.items()]}
     if any(p.hook("validate_record") for p in hooks.values()):
         df = run_record_hooks(df, c, hooks, context)
@@ -199,7 +203,7 @@ def run_record_hooks(df: DataFrame, c: Converted, hooks: dict[str | None, Plan],
             out = []
             for r in batch.to_pylist():
                 hook, fields, cls, name = parts.get(r["_variant"], parts.get(None))
-                if hook is None or any(d["severity"] == D.ERROR for d in r["_diag"]):
+                if hook is None or not r["_ok"]:
                     out.append([])
                     continue
                 values = decoded(r, fields, names)
@@ -212,7 +216,8 @@ def run_record_hooks(df: DataFrame, c: Converted, hooks: dict[str | None, Plan],
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow.field("_hooked").type)], schema=arrow)
 
     hooked = df.mapInArrow(run, schema)
-    return hooked.withColumn("_diag", F.concat("_diag", "_hooked").cast(DIAGS)).drop("_hooked")
+    ok = F.col("_ok") & ~F.exists("_hooked", lambda d: d["severity"] == D.ERROR)
+    return hooked.withColumns({"_diag": F.concat("_diag", "_hooked").cast(DIAGS), "_ok": ok}).drop("_hooked")
 
 
 def check_tables(c: Converted) -> DataFrame | None:

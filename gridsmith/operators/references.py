@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import diagnostics as D
-from ..diagnostics import TableError
 from ..functions.parsed import Parser
 from ..functions.parsers import identity, strip
 from ..plans.records import DIAGS, Converted
@@ -24,7 +23,7 @@ AHEAD = 1 << 40
 
 
 def no_errors() -> F.Column:
-    return ~F.exists("_diag", lambda d: d["severity"] == D.ERROR)
+    return F.col("_ok")
 
 
 def reference_fields(plan: Plan) -> list[tuple[CompiledField, Plan, list[str]]]:
@@ -51,8 +50,6 @@ def resolve(c: Converted) -> tuple[Converted, DataFrame | None]:
     if not found:
         return c, None
     df, ambiguous = c.df, None
-    if any(f.reference.many for f, _, _ in found) and "_ordinal" not in df.columns:
-        raise TableError("lists of references need an ordinal", schema=c.plan.schema, code="invalid_table_input")
     base = df
     # Whether a record was good before any reference was looked up.
     df = df.withColumn("__ok", no_errors())
@@ -98,7 +95,8 @@ def single(df: DataFrame, f: CompiledField, p: Plan, parser: Parser, keys: DataF
     df = df.join(bad, F.col("_table_id") == F.col("__bt"), "left").join(keys, (F.col("_table_id") == F.col("__t")) & (F.col("__kv") == F.col("__k")), "left")
     failed = F.col("__text").isNotNull() & F.col("__k").isNull() & F.col("__bt").isNull()
     more = F.when(failed, F.concat("_diag", F.array(failure(f, p, F.col("__text"), F.col("__ke"), k)))).otherwise(F.col("_diag"))
-    return df.withColumns({"_diag": more, f.name: F.col("__k")}).drop("__text", "__kv", "__ke", "__bt", "__t", "__k")
+    ok = F.col("_ok") & ~F.coalesce(failed, F.lit(False))
+    return df.withColumns({"_diag": more, "_ok": ok, f.name: F.col("__k")}).drop("__text", "__kv", "__ke", "__bt", "__t", "__k")
 
 
 def many(df: DataFrame, f: CompiledField, p: Plan, parser: Parser, keys: DataFrame, bad: DataFrame, k: int) -> DataFrame:
@@ -116,5 +114,5 @@ def many(df: DataFrame, f: CompiledField, p: Plan, parser: Parser, keys: DataFra
     made = F.transform(wrong, lambda x: failure(f, p, x["__x"], x["__ke"], k, x["__p"]))
     lost = F.coalesce(F.size(wrong) > 0, F.lit(False)) & F.col("__bt").isNull()
     value = F.when(F.col("__all").isNull() & F.col("__ok"), F.array().cast(T.ArrayType(parser.dtype))).when((F.size(wrong) == 0) & F.col("__bt").isNull(), F.transform("__all", lambda x: x["__k"]))
-    df = df.withColumns({"__value": value, "_diag": F.when(lost, F.concat("_diag", made)).otherwise(F.col("_diag")).cast(DIAGS)})
+    df = df.withColumns({"__value": value, "_ok": F.col("_ok") & ~F.coalesce(lost, F.lit(False)), "_diag": F.when(lost, F.concat("_diag", made)).otherwise(F.col("_diag")).cast(DIAGS)})
     return df.withColumn(f.name, F.col("__value")).drop("__value", "__bt", "__rt", "__ro", "__all")

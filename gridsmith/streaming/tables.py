@@ -25,7 +25,7 @@ def stateless(schema: type, stream: DataFrame, **options: Any) -> DataFrame:
 
 
 def good(records: DataFrame) -> DataFrame:
-    return records.filter(~F.exists("_diag", lambda d: d["severity"] == "error"))
+    return records.filter("_ok")
 
 
 def unique_ids(records: DataFrame, id_column: str, event_time: str, delay: str) -> DataFrame:
@@ -45,5 +45,5 @@ def each_batch(schema: type, stream: DataFrame, sink: Any, **options: Any) -> An
 
 def windowed_counts(records: DataFrame, event_time: str, window: str, delay: str) -> DataFrame:
     """Good and rejected records for each tumbling window of event time; late rows beyond the delay are left out."""
-    failed = F.exists("_diag", lambda d: d["severity"] == "error")
+    failed = ~F.col("_ok")
     return records.withWatermark(event_time, delay).groupBy(F.window(event_time, window)).agg(F.count_if(~failed).alias("good"), F.count_if(failed).alias("rejected"))
