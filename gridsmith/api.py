@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import diagnostics as D
 from .context import ParseContext
@@ -130,9 +132,15 @@ def lenient(schema: type, table: Any, *, context: Any = None, **options: Any) ->
 
 
 def barrier(found: DataFrame) -> DataFrame:
-    """Diagnostics up to the first phase of their table that has an error."""
-    first = found.filter(F.col("severity") == D.ERROR).groupBy(F.col("_table_id").alias("_t")).agg(F.min("phase").alias("_p"))
-    return found.join(first, F.col("_table_id") == F.col("_t"), "left").filter(F.col("_p").isNull() | (F.col("phase") <= F.col("_p"))).drop("_t", "_p")
+    """Diagnostics up to the first phase of their table that has an error; of a raised aggregate, only those of the first one."""
+    error = F.col("severity") == D.ERROR
+    aggregate = F.when((F.col("phase") == D.VALIDATION) & (F.col("step") == C.AGGREGATE), F.col("record_ordinal"))
+    ends = found.filter(error).groupBy(F.col("_table_id").alias("_t")).agg(F.min("phase").alias("_p"), F.min(aggregate).alias("_r"))
+    joined = found.join(ends, F.col("_table_id") == F.col("_t"), "left")
+    reached = F.col("_p").isNull() | (F.col("phase") <= F.col("_p"))
+    ended = (F.col("_p") == D.VALIDATION) & F.col("_r").isNotNull()
+    own = F.coalesce(aggregate == F.col("_r"), F.lit(False))
+    return joined.filter(reached & (~F.coalesce(ended, F.lit(False)) | own)).drop("_t", "_p", "_r")
 
 
 def failed(schema: type, found: list[Diagnostic]) -> Result:
@@ -159,22 +167,31 @@ def guarded(schema: type, call: Callable[[], Result]) -> Result:
         return failed(schema, [Diagnostic("internal_error", f"Unexpected failure: {type(e).__name__}", hint=D.HINTS["internal_error"], schema_name=schema.__name__, cause=e)])
 
 
+def table_hooks(got: Result, data: ParseContext) -> list[tuple]:
+    """Rows of what the table's Python hook found, for every table whose records all stand; one table is held at a time."""
+    wrong = got.diagnostics.filter((F.col("severity") == D.ERROR) & (F.col("phase") < D.VALIDATION))
+    tables = got.all_records.join(wrong.select(F.col("_table_id").alias("_bad")).distinct(), F.col("_table_id") == F.col("_bad"), "left_anti")
+    rows = tables.filter(R.no_errors()).orderBy("_table_id", "_ordinal").toLocalIterator()
+    out, seen = [], False
+    for table, records in itertools.groupby(rows, lambda r: r["_table_id"]):
+        seen = True
+        more, step = C.run_table_hook(got.plan, build_records(got.plan, records), data)
+        out += [(*to_row(d, D.VALIDATION, 2**62, step, i), table) for i, d in enumerate(more)]
+    if not seen and got.all_records.isEmpty() and wrong.isEmpty():
+        more, step = C.run_table_hook(got.plan, [], data)
+        out += [(*to_row(d, D.VALIDATION, 2**62, step, i), "") for i, d in enumerate(more)]
+    return out
+
+
 def strict(schema: type, table: Any, *, context: Any = None, **options: Any) -> Result:
     """A result whose phases end at the first one with an error; the table's Python hook included."""
     data = ParseContext.of(context, schema)
     got = lenient(schema, table, context=data, **options)
-    found = Result(got.plan, got.all_records, barrier(got.diagnostics), True)
-    if got.plan.hook("validate_records"):
-        errors = found.diagnostics.filter((F.col("severity") == D.ERROR) & (F.col("phase") < D.VALIDATION))
-        if errors.isEmpty():
-            rows = got.all_records.filter(R.no_errors()).orderBy("_table_id", "_ordinal").limit(C.MOST_RECORDS + 1).collect()
-            if len(rows) > C.MOST_RECORDS:
-                raise TableError(f"validate_records sees {C.MOST_RECORDS} records at most; declare checks instead", schema=schema, code="table_validation_failed")
-            more = C.run_table_hook(got.plan, build_records(got.plan, rows), data)
-            if more:
-                extra = session().createDataFrame([to_row(d, D.VALIDATION, 2**62, 3, i) for i, d in enumerate(more)], D.DIAGNOSTIC).withColumn("_table_id", F.lit(""))
-                found = Result(got.plan, got.all_records, found.diagnostics.unionByName(extra), True)
-    return found
+    found = got.diagnostics
+    if got.plan.hook("validate_records") and (rows := table_hooks(got, data)):
+        kinds = T.StructType([*D.DIAGNOSTIC.fields, T.StructField("_table_id", T.StringType())])
+        found = found.unionByName(session().createDataFrame(rows, kinds))
+    return Result(got.plan, got.all_records, barrier(found), True)
 
 
 def validate_table(schema: type, table: Any, **options: Any) -> Result:

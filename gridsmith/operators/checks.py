@@ -2,7 +2,8 @@
 
 A record check is one more boolean in the projection of records; like SQL's CHECK, it fails where its condition is false, not where it
 is null. Table checks are aggregates: one pass for counts, and a count by key for unique values. Python hooks of records run in Arrow
-batches on the executors. The Python hook of a whole table sees all its records, so it runs on the driver, for MOST_RECORDS at most.
+batches on the executors. The Python hook of a whole table is by contract given all its records, so it runs on the driver, table after
+table, with the records of one table held at a time; tables too large for that want declared checks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from ..schema import Plan
 from .references import no_errors
 from .shape import diag
 
-MOST_RECORDS = 100_000
 Condition = str | Column | Callable[[], Column]
 
 
@@ -56,6 +56,7 @@ class Unique:
     message: str = "Values must be unique"
     code: str = "table_validation_failed"
     severity: str = D.ERROR
+    looks_at_order = True
 
 
 @dataclass(frozen=True)
@@ -171,19 +172,24 @@ def importable(cls: type) -> bool:
         return False
 
 
-def findings(call: Callable[[], Any], wrap: Callable[[Exception], TableError]) -> list[Diagnostic]:
-    """What a hook raised, as diagnostics; aggregates of errors only are raised on."""
+#: Steps of what hooks found. A raised aggregate of errors only ends a strict run by itself: nothing but it is reported.
+AGGREGATE, RECORD_HOOK, TABLE_HOOK = -1, 1, 3
+
+
+def findings(call: Callable[[], Any], wrap: Callable[[Exception], TableError], step: int) -> tuple[list[Diagnostic], int]:
+    """What a hook raised, as diagnostics, and their step: AGGREGATE for several errors without a warning among them."""
     try:
         call()
     except TableError as e:
-        return [e.diagnostic]
+        return [e.diagnostic], step
     except TableErrors as e:
-        return list(e.diagnostics)
+        found = list(e.diagnostics)
+        return found, step if any(d.severity == D.WARNING for d in found) else AGGREGATE
     except SchemaDefinitionError:
         raise
     except Exception as e:
-        return [wrap(e).diagnostic]
-    return []
+        return [wrap(e).diagnostic], step
+    return [], step
 
 
 def run_record_hooks(df: DataFrame, c: Converted, hooks: dict[str | None, Plan], context: ParseContext) -> DataFrame:
@@ -210,8 +216,8 @@ def run_record_hooks(df: DataFrame, c: Converted, hooks: dict[str | None, Plan],
                 source = source_of(r, fields)
                 record = cls._of(values, source, dict(r["_extras"] or [])) if cls else RecordView(values, source, dict(r["_extras"] or []))
                 wrap = lambda e, r=r, name=name: TableError(f"Record validation failed: {e}", schema=name, row=r["_row"], column=r["_column"], item_id=None if r["_item"] is None else json.loads(r["_item"]), source_uri=r["_uri"], code="record_validation_failed")
-                got = findings(lambda: hook(record, context), wrap)
-                rows = [to_row(d, D.VALIDATION, r["_ordinal"] or 0, 1, i) for i, d in enumerate(got)]
+                got, step = findings(lambda: hook(record, context), wrap, RECORD_HOOK)
+                rows = [to_row(d, D.VALIDATION, r["_ordinal"] or 0, step, i) for i, d in enumerate(got)]
                 out.append([dict(zip(D.DIAGNOSTIC.names, x)) for x in rows])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow.field("_hooked").type)], schema=arrow)
 
@@ -265,11 +271,11 @@ def check_tables(c: Converted) -> DataFrame | None:
     return total
 
 
-def run_table_hook(plan: Plan, records: list[Any], context: ParseContext) -> list[Diagnostic]:
-    """The Python hook over all records of a table."""
+def run_table_hook(plan: Plan, records: list[Any], context: ParseContext) -> tuple[list[Diagnostic], int]:
+    """What the Python hook over all records of a table found, and its step."""
     uri = records[0].table_source.source_uri if records else None
     wrap = lambda e: TableError(f"Table validation failed: {e}", schema=plan.schema, source_uri=uri, code="table_validation_failed", cause=e)
-    return findings(lambda: plan.hook("validate_records")(records, context), wrap)
+    return findings(lambda: plan.hook("validate_records")(records, context), wrap, TABLE_HOOK)
 
 
 def emit(found: list[Diagnostic]) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import diagnostics as D
-from ..diagnostics import Diagnostic, to_row
+from ..diagnostics import Diagnostic, TableError, to_row
 from ..schema import COLUMN, Plan
 from ..sources.cells import CELL, CellFrame
 
@@ -96,6 +96,17 @@ def header_findings(plan: Plan, labels: list[str]) -> list[tuple[str, str, str,
     return out
 
 
+def needs_ordinal(plan: Plan) -> str | None:
+    """Why a frame, whose rows have no order, must number them for this plan; None where it need not."""
+    if plan.id is not None:
+        return f"of records with one {plan.id.label!r} the first is kept"
+    if any(f.reference is not None for p in plan.family for f in p.fields.values()):
+        return "references tell records apart"
+    if any(getattr(c, "looks_at_order", False) for c in plan.checks):
+        return "of records with equal values the later ones are reported"
+    return None
+
+
 def from_wide(df: DataFrame, plan: Plan, *, ordinal: str | None, uri: str | None, table_id: str | None) -> RecordFrame:
     """Every row of a frame is a record; its columns, other than those named here, are labels."""
     special = {c for c in (ordinal, table_id) if c}
@@ -111,10 +122,21 @@ def from_wide(df: DataFrame, plan: Plan, *, ordinal: str | None, uri: str | None
                 wide.setdefault(c, n)
     else:
         wide = {c: c for c in names}
+    if ordinal is None and (why := needs_ordinal(plan)):
+        raise TableError(f"{why}: name the column that numbers the rows by ordinal=", schema=plan.schema, code="invalid_table_input")
     findings = header_findings(plan, names)
-    spark = df.sparkSession
-    rows = [to_row(Diagnostic(code, message, hint=D.HINTS.get(code), schema_name=plan.name, field_label=label, source_uri=uri, column=i % 10_000 + 1, _source_value=label), D.CONVERSION, 0, step, i) for code, message, label, step, i in findings]
-    header = spark.createDataFrame(rows, D.DIAGNOSTIC).withColumn("_table_id", F.lit("")) if rows else None
+    rows = []
+    for code, message, label, step, i in findings:
+        d = Diagnostic(code, message, hint=D.HINTS.get(code), schema_name=plan.name, field_label=label, source_uri=uri, column=i % 10_000 + 1, _source_value=label)
+        rows.append(to_row(d, D.CONVERSION, 0, step, i))
+    header = None
+    if rows and table_id is None:
+        header = df.sparkSession.createDataFrame(rows, D.DIAGNOSTIC).withColumn("_table_id", F.lit(""))
+    elif rows:
+        # All tables of the frame share its header, so each of them has its findings.
+        tables = renamed.select(F.col(f"`{table_id}`").cast("string").alias("_table_id")).distinct()
+        each = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, D.DIAGNOSTIC.fields))) for r in rows))
+        header = tables.select("_table_id", F.explode(each).alias("d")).select("_table_id", "d.*")
     place = F.col(f"`{ordinal}`").cast("bigint") if ordinal else F.lit(None).cast("bigint")
     out = renamed.withColumns({"_table_id": F.col(f"`{table_id}`").cast("string") if table_id else F.lit(""), "_ordinal": place, "_row": place.try_cast("int"), "_column": F.lit(None).cast("int"), "_uri": F.lit(uri).cast("string")})
     return RecordFrame(out, header, wide, labels=names)

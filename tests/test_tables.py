@@ -497,6 +497,80 @@ def test_many_tables_have_their_own_barriers(spark):
     assert [(r["name"], r["_table_id"]) for r in got.records.collect()] == [("a", "good")]
 
 
+def test_frames_whose_order_counts_must_number_their_rows(spark):
+    class Keyed(G.RowTable):
+        key: int = G.id_field("key")
+
+    class Alone(G.RowTable):
+        key: int = G.field("key", required=True)
+        checks = (G.unique("key"),)
+
+    class Linked(G.RowTable):
+        key: int = G.field("key", required=True)
+        near = G.reference("near", target="key", many=True)
+
+    df = spark.createDataFrame([("1", 3), ("1", 2), ("2", 1)], "key string, n int")
+    for schema in (Keyed, Alone, Linked):
+        with pytest.raises(G.TableError) as e:
+            schema.lenient(df.drop("n"))
+        assert e.value.code == "invalid_table_input"
+        assert [c for c, *_ in found(schema.validate(df.drop("n")))] == ["invalid_table_input"]
+    got = Keyed.lenient(df, ordinal="n")
+    # The first of equal ids is kept, and only the other is reported.
+    assert sorted((r["key"], r["_ordinal"]) for r in got.records.collect()) == [(1, 2), (2, 1)]
+    assert found(got) == [("duplicate_id", 3, 1)]
+    assert found(Alone.lenient(df, ordinal="n")) == [("table_validation_failed", 3, 1)]
+
+
+def test_tables_of_one_frame_have_their_own_headers_and_hooks(spark):
+    df = spark.createDataFrame([("a", "1", "x"), ("b", "2", "y")], "t string, key string, what string")
+
+    class Keys(G.RowTable):
+        key: int = G.field("key", required=True)
+
+    got = Keys.validate(df, table_id="t")
+    assert not got.valid and got.records.count() == 0
+    assert sorted((r["_table_id"], r["code"]) for r in got.diagnostics.collect()) == [("a", "unknown_field"), ("b", "unknown_field")]
+    calls = []
+
+    class Hooked(G.RowTable):
+        key: int = G.field("key", required=True)
+
+        @classmethod
+        def validate_records(cls, records, context):
+            calls.append([r.key for r in records])
+            if records[0].key == 1:
+                raise G.TableError("one", code="mine")
+
+    got = Hooked.validate(df.drop("what"), table_id="t")
+    assert calls == [[1], [2]]
+    assert [(r["_table_id"], r["code"]) for r in got.diagnostics.collect()] == [("a", "mine")]
+    assert [r["key"] for r in got.records.collect()] == [2]
+
+
+def test_aggregates_of_validators():
+    class Scores(G.RowTable):
+        score: int = G.field("score", required=True)
+
+        def validate_record(self, context):
+            severity = "warning" if self.score > 8 else "error"
+            if self.score > 4:
+                raise G.TableErrors([G.TableError("low", code="low"), G.TableError("high", code="high", severity=severity)])
+            if self.score > 2:
+                raise G.TableError("early", code="early")
+
+    def codes(*scores):
+        return [d.code for d in Scores.validate([["score"], *([str(x)] for x in scores)]).collect_diagnostics()]
+
+    # One with a warning in it is taken apart; one of errors only is raised as it is, by itself.
+    assert codes(9, 3) == ["low", "high", "early"]
+    assert codes(3, 5, 6) == ["low", "high"]
+    assert codes(1, 3) == ["early"]
+    with pytest.raises(G.TableErrors) as e:
+        Scores.parse([["score"], ["3"], ["5"]], error_mode="collect")
+    assert [d.code for d in e.value.diagnostics] == ["low", "high"]
+
+
 def test_diagnostics_are_plain_data():
     loop: list = []
     loop.append(loop)
