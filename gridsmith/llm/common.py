@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,7 +42,23 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes what write_table() wrote, once all that was made of it is written too."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has the driver notice which shuffles no frame needs any more: executors delete the files of those."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -64,6 +81,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """df with its columns of names that an operator uses renamed, and what gives all columns their own names again."""
+    clashing = [c for c in df.columns if c.lower() in {u.lower() for u in used}]
+    renamed = dict(zip(clashing, fresh(df, *(f"user_{c}" for c in clashing))))
+    return df.withColumnsRenamed(renamed), [F.col(f"`{renamed.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def with_columns_schema(df: DataFrame, added: list[tuple[str, T.DataType]]) -> T.StructType:
     names = {n for n, _ in added}
     fields = [f for f in df.schema.fields if f.name not in names]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_tables, write_table
 
 
 def step(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,16 @@ def mark(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes but roots, for links (a, b); nodes are of any type with an order, roots are the least."""
+    """(node, root) of all nodes but roots, for links (a, b); nodes are of any type with an order, roots are the least.
+
+    Links with a null end, and links of a node to itself, join nothing and are left out. Each round's table is deleted behind the next.
+    """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = write_table(edges, "edges")
     before = mark(edges)
     while True:
-        edges = write_table(step(edges), "edges")
+        old, edges = edges, write_table(step(edges), "edges")
+        drop_tables(old)
         now = mark(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

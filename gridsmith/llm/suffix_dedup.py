@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import arrow_map, map_texts, slices, tidy_group, write_table
+from .common import arrow_map, drop_tables, fresh, let_go, map_texts, slices, tidy_group, write_table
 from .line_dedup import has, twice_seen
 
 SYMBOL = 50
@@ -288,6 +288,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         raise ValueError(f"length must be a multiple of {SYMBOL} and over {K_BYTES}")
     length = s.length
     places = occurrences(docs, s)
+    let_go(docs.sparkSession)
     segments = write_table(places.groupBy("anchor", "segment").agg((F.sum("n") > 1).alias("often")), "segments")
     open_anchors = write_table(segments.groupBy("anchor").agg(F.count("*").alias("segments"), F.min("often").alias("often")).filter("segments > 1 AND NOT often").select("anchor", "segments"), "anchors")
 
@@ -300,8 +301,12 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # A window dealt by itself marks its own offset.
     marked = marked.filter(F.size("marks") > 0).select("anchor", "segment", F.when(F.col("offset") < 0, F.col("marks")).otherwise(F.array("offset", F.col("offset") + 1)).alias("marks"))
     marked = write_table(marked.groupBy("anchor", "segment").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
+    drop_tables(open_anchors)
+    let_go(docs.sparkSession)
     # Written, so that both sides of the next join are dealt anew and a segment of very many places can be split.
     known = write_table(segments.join(marked, ["anchor", "segment"], "left").filter("often OR marks IS NOT NULL"), "known")
+    drop_tables(segments, marked)
+    let_go(docs.sparkSession)
     at = places.join(known, ["anchor", "segment"]).select(
         "text_key",
         F.when(F.col("often"), F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows")).alias("b"))))
@@ -319,18 +324,19 @@ def drop_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         ("n_removed", T.LongType()),
         ("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ]
-    docs = docs.drop(*(n for n, _ in added), "_text_key", "_runs")
+    docs = docs.drop(*(n for n, _ in added))
     columns, text_at, length = docs.columns, docs.columns.index("text"), s.length
+    text_key, runs_name = fresh(docs, "text_key", "runs")
 
     def keyed():
         def f(batch):
             data, at = K.utf8(batch.column(text_at))
-            return {"_text_key": pa.array([digest(data[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())}
+            return {text_key: pa.array([digest(data[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())}
 
         return f
 
-    found = repeats(docs.select("doc_id", "text"), s).select(F.col("text_key").alias("_text_key"), F.col("runs").alias("_runs"))
-    joined = map_texts(docs, [("_text_key", T.BinaryType())], keyed).join(found, "_text_key", "left").select(*columns, "_runs")
+    found = repeats(docs.select("doc_id", "text"), s).select(F.col("text_key").alias(text_key), F.col("runs").alias(runs_name))
+    joined = map_texts(docs, [(text_key, T.BinaryType())], keyed).join(found, text_key, "left").select(*columns, runs_name)
     runs_at = len(columns)
 
     def make():
@@ -358,7 +364,7 @@ def drop_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
         return f
 
-    return map_texts(joined, added, make).drop("_runs")
+    return map_texts(joined, added, make).drop(runs_name)
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
