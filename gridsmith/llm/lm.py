@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import arrow_map, map_texts, slices, tidy_group
+from .common import arrow_map, fresh, map_texts, slices, tidy_group
 
 NOT_SPACE = ~K.SPACE
 BACKOFF = 0.4
@@ -290,18 +290,19 @@ def scores(docs: DataFrame, s: Settings) -> DataFrame:
 
 def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with n_words, logp and perplexity."""
-    docs = docs.drop("n_words", "logp", "perplexity", "_key")
+    docs = docs.drop("n_words", "logp", "perplexity")
     columns, text_at = docs.columns, docs.columns.index("text")
+    (key,) = fresh(docs, "key")
 
     def keyed():
         def f(batch):
             data, at = K.utf8(batch.column(text_at))
-            return {"_key": pa.array([text_key(data[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()), "n_words": pa.array(np.diff(words48(data, at)[1]))}
+            return {key: pa.array([text_key(data[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()), "n_words": pa.array(np.diff(words48(data, at)[1]))}
 
         return f
 
-    rows = map_texts(docs, [("_key", T.BinaryType()), ("n_words", T.LongType())], keyed)
-    found = rows.join(scores(docs.select("text"), s).withColumnRenamed("text_key", "_key"), "_key", "left")
+    rows = map_texts(docs, [(key, T.BinaryType()), ("n_words", T.LongType())], keyed)
+    found = rows.join(scores(docs.select("text"), s).withColumnRenamed("text_key", key), key, "left")
     logp = F.coalesce("logp", F.lit(0.0))
     return found.select(*columns, "n_words", logp.alias("logp"), F.when(F.col("n_words") > 0, F.exp(-logp / F.col("n_words"))).alias("perplexity"))
 

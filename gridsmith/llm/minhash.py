@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
-from .common import arrow_map, map_texts, slices, tidy_group, write_table
+from .common import arrow_map, aside, drop_tables, let_go, map_texts, slices, tidy_group, write_table
 from .components import components
 from .line_dedup import has, put
 
@@ -260,12 +260,17 @@ def classes_of(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     items = write_table(needed_sets(docs, wanted, s), "sets")
     links = write_table(verify(first, items, s), "links")
     groups = components(links)
+    drop_tables(links)
+    let_go(docs.sparkSession)
 
     grouped = members.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("bucket", "n")
-    left = write_table(grouped.join(mixed, "bucket"), "mixed").join(nodes.select("node", "_sig"), "node")
+    open_buckets = write_table(grouped.join(mixed, "bucket"), "mixed")
+    drop_tables(members)
+    left = open_buckets.join(nodes.select("node", "_sig"), "node")
     small = verify(small_pairs(left.filter(F.col("n") <= s.small), s), items, s)
     more = write_table(small.unionByName(block_links(left.filter(F.col("n") > s.small), items, s)), "links")
+    drop_tables(items, open_buckets)
     if not more.isEmpty():
         groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
@@ -285,21 +290,25 @@ def results() -> list:
     return [F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"), F.col("__kept").alias("kept")]
 
 
+INTERNAL = ("__n", "__set", "__sig", "__component", "__kept")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with n_shingles, component_id (the least doc_id of the document's group) and kept (whether it is that document)."""
-    docs = docs.drop("n_shingles", "component_id", "kept")
+    docs, columns = aside(docs.drop("n_shingles", "component_id", "kept"), INTERNAL)
     _, classes = classes_of(docs, s)
-    return decide(sketches(docs, s, minima=False), classes).select(*docs.columns, *results())
+    return decide(sketches(docs, s, minima=False), classes).select(*columns, *results())
 
 
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs without near duplicates: one row of each group stays, also where rows are repeated."""
+    docs, columns = aside(docs, INTERNAL)
     seen, classes = classes_of(docs, s)
     once = seen.filter("doc_id IS NOT NULL").groupBy("doc_id", "__set").count().filter("count > 1").isEmpty()
     kept = decide(sketches(docs, s, minima=False), classes).filter("__kept")
     if not once:
         kept = kept.filter("__set IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id", "__set"]).unionByName(kept.filter("__set IS NULL OR doc_id IS NULL"))
-    return kept.select(*docs.columns)
+    return kept.select(*columns)
 
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

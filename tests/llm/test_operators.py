@@ -34,6 +34,25 @@ def test_queries_agree_with_sql(spark, name):
     assert sorted(str([same(r[i]) for i in order]) for r in rows(got)) == sorted(str([same(v) for v in r]) for r in want.fetchall())
 
 
+def test_columns_of_clashing_names_are_kept(odd):
+    """Each operator replaces the columns it adds and keeps all others as they are."""
+    added = {
+        "op1": (quality.score(odd, quality.Model(np.zeros(1 << 20, np.float32), 0.0)), {"score", "predicted"}),
+        "op2": (suffix_dedup.drop_repeats(odd), {"kept", "n_bytes", "n_removed", "spans"}),
+        "op4": (line_dedup.drop_lines(odd, line_dedup.Settings(min_docs=2, broadcast_bytes=0)), {"kept", "n_lines", "n_dropped"}),
+        "op6": (minhash.near_duplicates(odd), {"n_shingles", "component_id", "kept"}),
+        "op6 kept": (minhash.one_of_each(odd), set()),
+        "op7": (langid.identify(odd, langid.Model(("en",), (b"a b c ",))), {"lang_pred", "score"}),
+        "op8": (lm.score(odd), {"n_words", "logp", "perplexity"}),
+        "op9": (pieces.encode(odd), {"piece_ids"}),
+        "op10": (fingerprint.fingerprint(odd.fillna("", "text"), "text", "fp"), {"fp"}),
+    }
+    for name, (got, new) in added.items():
+        assert set(got.columns) == set(odd.columns) | new, name
+        mine = [c for c in odd.columns if c not in new | {"doc_id", "text", "lang"}]
+        assert got.select(*mine).distinct().collect() == [tuple(["clash"] * len(mine))], name
+
+
 def test_word_hashes():
     texts = ["The the", None, "", " a  b\n", "x" * 300 + " y", "é É"]
     data, at = K.utf8(pa.array(texts))
