@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import types
 import typing
+from collections.abc import Callable, Hashable, Iterable, Mapping
 from datetime import date, datetime
 from decimal import Decimal
 from enum import Enum
@@ -45,35 +46,46 @@ def admits_text(annotation: Any) -> bool:
     return any(p in (Any, object, str) for p in members(annotation))
 
 
+#: Plain types whose values are told by their exact type, so that True is no int.
+EXACT = (int, float, bool, str, Decimal, date, datetime)
+Test = Callable[[Any], bool]
+
+
 def admits(annotation: Any, value: Any) -> bool:
-    """Whether a value is of the annotation; plain types are compared exactly, so True is no int."""
-    for p in members(annotation):
-        origin = typing.get_origin(p)
-        if p in (Any, object):
-            return True
-        if p is None or p is type(None):
-            if value is None:
-                return True
-        elif origin is Literal:
-            if any(type(v) is type(value) and v == value for v in typing.get_args(p)):
-                return True
-        elif isinstance(origin, type):
-            if isinstance(value, origin) and _items(p, origin, value):
-                return True
-        elif isinstance(p, type):
-            if isinstance(value, p) if issubclass(p, Enum) or p not in (int, float, bool, str, Decimal, date, datetime) else type(value) is p:
-                return True
-        else:
-            return True
-    return False
-
-
-def _items(annotation: Any, origin: type, value: Any) -> bool:
-    args = typing.get_args(annotation)
-    if issubclass(origin, tuple):
-        if len(args) == 2 and args[1] is ...:
-            return all(admits(args[0], v) for v in value)
-        return len(args) == len(value) and all(map(admits, args, value))
-    if issubclass(origin, dict):
-        return all(admits(args[0], k) and admits(args[1], v) for k, v in value.items())
-    return not args or not hasattr(value, "__iter__") or all(admits(args[0], v) for v in value)
+    """Whether a value is of the annotation."""
+    return test_of(annotation)(value)
+
+
+def test_of(annotation: Any) -> Test:
+    """The annotation as a test of values; what it doesn't know admits everything."""
+    parts = members(annotation)
+    if len(parts) > 1:
+        tests = [test_of(p) for p in parts]
+        return lambda v: any(t(v) for t in tests)
+    if annotation is Any or annotation is object:
+        return lambda v: True
+    if annotation in (None, type(None)):
+        return lambda v: v is None
+    if annotation in EXACT:
+        return lambda v: type(v) is annotation
+    if isinstance(annotation, type) and not typing.get_args(annotation):
+        return lambda v: isinstance(v, annotation)
+    kind = typing.get_origin(annotation)
+    if kind is Literal:
+        listed = {(type(x), x) for x in typing.get_args(annotation)}
+        return lambda v: isinstance(v, Hashable) and (type(v), v) in listed
+    return test_of_container(kind, typing.get_args(annotation)) if isinstance(kind, type) else lambda v: True
+
+
+def test_of_container(kind: type, args: tuple[Any, ...]) -> Test:
+    """A test of a container and of its items: by key and value, by place, or all alike."""
+    tests = [test_of(a) for a in args if a is not ...]
+    if issubclass(kind, Mapping):
+        inside = lambda v: all(t(x) for pair in v.items() for t, x in zip(tests, pair))
+    elif issubclass(kind, tuple) and ... not in args:
+        inside = lambda v: len(v) == len(tests) and all(t(x) for t, x in zip(tests, v))
+    elif tests and issubclass(kind, Iterable):
+        inside = lambda v: all(map(tests[0], v))
+    else:
+        inside = lambda v: True
+    return lambda v: isinstance(v, kind) and inside(v)
