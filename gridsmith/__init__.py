@@ -8,7 +8,7 @@ from .functions.cell_dsl import CellDSL, CellDSLChain, compose_cell_dsls
 from .functions.parsed import Parser
 from .functions.parsers import boolean, choice, compose, custom, date, datetime, decimal, each, enum, floating, identity, integer, literal, map_value, optional, split, string
 from .operators.checks import aggregate, all_rows, at_least, check, unique
-from .operators.groups import AlphabeticRange, ColumnGroupExpander, NumericRange, PrefixRepeat, SuffixRepeat
+from .operators.groups import AlphabeticRange, ColumnGroupExpander, NumericRange, PrefixRepeat, PythonRange, PythonRepeat, SuffixRepeat
 from .operators.transforms import TableTransformer, TransformerPipeline, compose_transformers
 from .output import RecordSource
 from .schema import ColumnTable, Fields, RowTable

@@ -47,6 +47,28 @@ class Result:
             good = good.join(bad, F.col("_table_id") == F.col("_bad"), "left_anti")
         return good.select(*self.fields, "_variant", "_extras", "_source", "_table_id", "_ordinal", "_row", "_column", "_uri", "_item")
 
+    def with_referenced(self, name: str) -> DataFrame:
+        """records with <name>_record: the fields of the record that a reference names, or of each in order, as structs.
+
+        As in the lookup itself, a record that could be converted may be named, also where a reference or check of its own fails.
+        """
+        f = next(x for p in self.plan.family for x in p.fields.values() if x.name == name and x.reference is not None)
+        good = self.records
+        fields = F.struct(*(F.col(f"`{c}`") for c in self.fields)).alias("__found")
+        converted = ~F.exists("_diag", lambda d: (d["severity"] == D.ERROR) & (d["phase"] < D.REFERENCES))
+        targets = self.all_records.filter(converted).select(F.col("_table_id").alias("__table"), F.col(f"`{f.reference.target}`").alias("__target"), fields).filter("__target IS NOT NULL")
+        new = f"{name}_record"
+        if not f.reference.many:
+            on = (F.col("_table_id") == F.col("__table")) & (F.col(f"`{name}`") == F.col("__target"))
+            return good.join(targets, on, "left").withColumnRenamed("__found", new).drop("__table", "__target")
+        spread = good.select(F.col("_table_id").alias("__t"), F.col("_ordinal").alias("__o"), F.posexplode(name).alias("__place", "__key"))
+        met = spread.join(targets, (F.col("__t") == F.col("__table")) & (F.col("__key") == F.col("__target")))
+        lists = met.groupBy("__t", "__o").agg(F.sort_array(F.collect_list(F.struct("__place", "__found"))).alias("__all"))
+        lists = lists.select("__t", "__o", F.transform("__all", lambda x: x["__found"]).alias(new))
+        joined = good.join(lists, (F.col("_table_id") == F.col("__t")) & (F.col("_ordinal") == F.col("__o")), "left")
+        empty = F.array().cast(lists.schema[new].dataType)
+        return joined.withColumn(new, F.coalesce(new, F.when(F.col(f"`{name}`").isNotNull(), empty))).drop("__t", "__o")
+
     @property
     def rejected(self) -> DataFrame:
         return self.all_records.filter(~R.no_errors())

@@ -133,6 +133,8 @@ class Parser:
     description: str = ""
     decode: Callable[[Any], Any] | None = field(default=None, repr=False)
     native: bool = True
+    #: The Python function of a custom parser.
+    function: Callable[[Any, Any], Any] | None = field(default=None, repr=False, compare=False)
     #: The type of its values, or a function to it from the type of what it is given; known without a session.
     kind: Any = T.StringType()
 

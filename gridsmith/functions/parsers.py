@@ -353,8 +353,12 @@ def each(parser: Any) -> Parser:
         out = kind(dtype)
         if not isinstance(dtype, T.ArrayType):
             return ParsedExpr(F.lit(None).cast(out), F.when(c.isNotNull(), F.lit("each() needs a list of items")), out)
+        if inner.function is not None:
+            # One call of Python for a list, in the same Arrow batches as other cells.
+            one = inner.function
+            return custom(lambda items, context: [one(x, context) for x in items], returns=out).apply(c, dtype, cell)
         if not inner.native:
-            raise TypeError("each() over a Python parser: give the Python parser the whole list instead")
+            raise TypeError("each() over a parser with a Python part: make it one custom parser")
         return each_item(inner, c, dtype.elementType, out, cell)
 
     return Parser("each", build, f"each({inner.description or inner.name})", decode=(lambda v: None if v is None else [inner.decode(x) for x in v]) if inner.decode else list, native=inner.native, kind=kind)
@@ -416,4 +420,4 @@ def custom(function: Callable[[Any, Any], Any], *, returns: T.DataType | str = "
         got = let(cell, F.when(c.isNotNull(), got))
         return ParsedExpr(got["value"], got["error"], kind, got["code"])
 
-    return Parser(name or getattr(function, "__qualname__", type(function).__qualname__), build, name or getattr(function, "__qualname__", type(function).__qualname__), native=False, kind=kind)
+    return Parser(name or getattr(function, "__qualname__", type(function).__qualname__), build, name or getattr(function, "__qualname__", type(function).__qualname__), native=False, function=function, kind=kind)

@@ -1,6 +1,6 @@
 """Column-group expansion: a key row names how many logical columns each source column stands for.
 
-Rules are column functions. A range rule maps a key cell to struct<keys: array<string>, error: string, code: string>, a repeat rule
+Rules are column functions, or plain Python functions, which run in Arrow batches. A range rule maps a key cell to struct<keys: array<string>, error: string, code: string>, a repeat rule
 maps a value cell and the number of keys to struct<values, error, code>. Every array is bounded before it is made.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +114,66 @@ class SuffixRepeat:
         return repeated(c, n, tail, value, has & tail.rlike(r"\A[0-9]+\z"))
 
 
+OUTCOME = "items array<string>, error string, code string"
+
+
+def told(call: Any, most: int | None) -> tuple[list[str] | None, str | None, str | None]:
+    """What a Python rule gives for a cell: its texts, or an error and its code."""
+    try:
+        items = list(call())
+        if any(not isinstance(x, str) for x in items):
+            return None, "A rule must give texts", "invalid_transform"
+        if most is not None and len(items) > most:
+            return None, f"A range stands for {most} keys at most", "expansion_limit"
+        return items, None, None
+    except TableError as e:
+        return None, e.diagnostic.message, str(e.diagnostic.code)
+    except Exception as e:
+        return None, str(e) or type(e).__name__, "transform_failed"
+
+
+def as_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=object) for i, name in enumerate(("items", "error", "code"))})
+
+
+@dataclass(frozen=True)
+class PythonRange:
+    """A range rule as a Python function from a key cell's text to the keys it stands for, in Arrow batches."""
+
+    function: Any
+
+    def expand(self, c: Column) -> Column:
+        function = self.function
+
+        def run(cells: pd.Series) -> pd.DataFrame:
+            return as_frame([told(lambda x=x: function(x), MOST_KEYS) for x in cells])
+
+        return F.pandas_udf(run, OUTCOME)(c)
+
+
+@dataclass(frozen=True)
+class PythonRepeat:
+    """A repeat rule as a Python function from a cell's text and the number of keys to one text for each key, in Arrow batches."""
+
+    function: Any
+
+    def expand(self, c: Column, n: Column) -> Column:
+        function = self.function
+
+        def run(cells: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+            return as_frame([told(lambda x=x, k=k: function(x, int(k)), None) for x, k in zip(cells, sizes)])
+
+        return F.pandas_udf(run, OUTCOME)(c, n)
+
+
+def as_range_rule(rule: Any) -> Any:
+    return rule if hasattr(rule, "expand") else PythonRange(rule)
+
+
+def as_repeat_rule(rule: Any) -> Any:
+    return rule if hasattr(rule, "expand") else PythonRepeat(rule)
+
+
 @dataclass(frozen=True)
 class ColumnGroupExpander:
     """A transformer that expands column groups. key_label names the key row, the first one; columns behind the labels expand."""
@@ -122,7 +183,7 @@ class ColumnGroupExpander:
     repeat_rule: Any = PrefixRepeat()
 
     def transform(self, cells: CellFrame, context: Any, *, schema: Any = None) -> CellFrame:
-        df = cells.df
+        df, range_rule, repeat_rule = cells.df, as_range_rule(self.range_rule), as_repeat_rule(self.repeat_rule)
         fail = lambda message, code, **at: TableError(message, schema=schema, code=code, source_uri=at.pop("source_uri", cells.uri), **at)
         if cells.empty or df.isEmpty():
             raise fail("The table has no rows", "table_empty")
@@ -133,11 +194,11 @@ class ColumnGroupExpander:
         keys = df.filter("row_idx = 1")
         if bad := keys.filter((F.col("col_idx") == 1) & (F.col("value") != self.key_label)).limit(1).collect():
             raise fail(f"The first row must be {self.key_label!r}", "invalid_transform", row=bad[0]["source_row"], column=bad[0]["source_column"], source_uri=bad[0]["source_uri"], source_value=bad[0]["source_value"], logical_value=bad[0]["value"])
-        groups = keys.filter("col_idx > 1").select("table_id", "col_idx", F.struct(*COLUMNS[3:]).alias("key"), self.range_rule.expand(F.col("value")).alias("e"))
+        groups = keys.filter("col_idx > 1").select("table_id", "col_idx", F.struct(*COLUMNS[3:]).alias("key"), range_rule.expand(F.col("value")).alias("e"))
         self.raise_first(groups, "key", fail)
         groups = groups.select("table_id", "col_idx", F.col("e.items").alias("keys"))
         values = df.filter("row_idx > 1 AND col_idx > 1").join(groups, ["table_id", "col_idx"])
-        spread = values.select("table_id", "row_idx", "col_idx", F.struct(*COLUMNS[3:]).alias("key"), self.repeat_rule.expand(F.col("value"), F.size("keys")).alias("e"), F.size("keys").alias("n"))
+        spread = values.select("table_id", "row_idx", "col_idx", F.struct(*COLUMNS[3:]).alias("key"), repeat_rule.expand(F.col("value"), F.size("keys")).alias("e"), F.size("keys").alias("n"))
         spread = spread.withColumn("e", F.when(F.col("e.error").isNotNull() | (F.size("e.items") == F.col("n")), F.col("e")).otherwise(F.struct(F.col("e.items").alias("items"), F.lit("A repeat rule must give one value for each key").alias("error"), F.lit("invalid_transform").alias("code"))))
         self.raise_first(spread, "key", fail)
         # Where each source column's logical columns begin: a window over the key rows only.

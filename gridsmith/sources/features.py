@@ -12,20 +12,39 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..diagnostics import TableError
 from .cells import CELL_SCHEMA, CellFrame, TableCell, session, source_uri
 
 FEATURE_SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in ("path", "feature", "scenario", "step")), *CELL_SCHEMA.fields])
 
-# The keywords of English feature files.
-STEP = re.compile(r"(Given|When|Then|And|But|\*)\s+(.*)")
-BLOCK = re.compile(r"(Feature|Rule|Background|Scenario Outline|Scenario Template|Scenario|Example|Examples|Scenarios)\s*:\s*(.*)")
-OUTLINE, EXAMPLES = ("Scenario Outline", "Scenario Template"), ("Examples", "Scenarios")
+# The keywords of feature files, by the language that a first line "# language: .." names; English without one.
+KEYWORDS = {
+    "en": {"feature": "Feature", "rule": "Rule", "background": "Background", "outline": "Scenario Outline|Scenario Template", "scenario": "Scenario|Example", "examples": "Examples|Scenarios", "step": "Given|When|Then|And|But"},
+    "de": {"feature": "Funktionalität|Funktion", "rule": "Rule|Regel", "background": "Grundlage|Hintergrund|Voraussetzungen|Vorbedingungen", "outline": "Szenariogrundriss|Szenarien", "scenario": "Beispiel|Szenario", "examples": "Beispiele", "step": "Angenommen|Gegeben sei|Gegeben seien|Wenn|Dann|Und|Aber"},
+    "fr": {"feature": "Fonctionnalité", "rule": "Règle", "background": "Contexte", "outline": "Plan du scénario|Plan du Scénario", "scenario": "Exemple|Scénario", "examples": "Exemples", "step": "Soit|Sachant que|Étant donné que|Étant donné|Quand|Lorsque|Alors|Donc|Et que|Et|Mais que|Mais"},
+    "es": {"feature": "Característica|Necesidad del negocio|Requisito", "rule": "Regla|Regla de negocio", "background": "Antecedentes", "outline": "Esquema del escenario", "scenario": "Ejemplo|Escenario", "examples": "Ejemplos", "step": "Dado|Dada|Dados|Dadas|Cuando|Entonces|Y|E|Pero"},
+}
+LANGUAGE = re.compile(r"#\s*language\s*:\s*([A-Za-z_-]+)")
+
+
+def grammar(language: str) -> tuple[re.Pattern, re.Pattern, dict[str, str]]:
+    """(steps, block headings, the kind of each heading) of a language's files."""
+    words = KEYWORDS.get(language)
+    if words is None:
+        raise ValueError(f"keywords of the language {language!r} are not known; known are {sorted(KEYWORDS)}")
+    kinds = {w: kind for kind, names in words.items() if kind != "step" for w in names.split("|")}
+    longest = sorted(kinds, key=len, reverse=True)
+    steps = sorted(words["step"].split("|"), key=len, reverse=True)
+    return re.compile(rf"({'|'.join(steps)}|\*)\s+(.*)"), re.compile(rf"({'|'.join(longest)})\s*:\s*(.*)"), kinds
+
+
 PARAMETER = re.compile(r"<([^<>]+)>")
 
 
@@ -91,7 +110,10 @@ def parse_feature(text: str) -> tuple[str, list[Scenario]]:
     current: Scenario | None = None
     rows: list | None = None
     closing: str | None = None
-    for number, line in enumerate(text.split("\n"), 1):
+    lines = text.split("\n")
+    told = next((m[1] for x in lines if (m := LANGUAGE.fullmatch(x.strip()))), "en") if text.lstrip().startswith("#") else "en"
+    steps, blocks, kinds = grammar(told)
+    for number, line in enumerate(lines, 1):
         bare = line.strip()
         if closing is not None:
             closing = None if bare == closing else closing
@@ -112,27 +134,27 @@ def parse_feature(text: str) -> tuple[str, list[Scenario]]:
             rows.append(row)
             continue
         rows = None
-        if m := BLOCK.fullmatch(bare):
-            kind, title = m[1], m[2].strip()
-            if kind == "Feature":
+        if m := blocks.fullmatch(bare):
+            kind, title = kinds[m[1]], m[2].strip()
+            if kind == "feature":
                 if name is not None:
                     raise ValueError(f"line {number}: a second feature")
                 name = title
             elif name is None:
                 raise ValueError(f"line {number}: expected a feature")
-            elif kind in EXAMPLES:
+            elif kind == "examples":
                 if current is None or not current.outline:
                     if current is None:
                         raise ValueError(f"line {number}: examples without an outline")
                     current.outline = True
                 rows = []
                 current.examples.append(rows)
-            elif kind != "Rule":
-                current = Scenario(title, kind in OUTLINE)
+            elif kind != "rule":
+                current = Scenario(title, kind == "outline")
                 scenarios.append(current)
             else:
                 current = None
-        elif (m := STEP.fullmatch(bare)) and current is not None:
+        elif (m := steps.fullmatch(bare)) and current is not None:
             current.steps.append(Step(m[2].strip()))
             rows = current.steps[-1].rows
         elif name is None or (current is not None and current.steps):
@@ -242,5 +264,34 @@ def read_features(paths: Any, *, step: str | None = None, scenario: str | None =
     return reader.load()
 
 
+def feature_tables(files: DataFrame, *, step: str | None = None, scenario: str | None = None) -> DataFrame:
+    """The cells of feature files given as rows (path, content: text or UTF-8 bytes), as read_features() has them."""
+    wanted = {"step": step, "scenario": scenario}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = content.decode("utf-8") if isinstance(content, bytes) else content
+                try:
+                    tables = list(tables_of(text or "", path, path, **wanted))
+                except Exception as e:
+                    raise TableError(f"Feature discovery failed for {path}: {e}", code="checker_failed", source_uri=path) from e
+                for n, t in enumerate(tables):
+                    cells = ((i, j, c) for i, row in enumerate(t.rows, 1) for j, c in enumerate(row, 1))
+                    rows += [(path, t.feature, t.scenario, t.step, f"{path}#{n:06d}", i, j, c.value, c.source_row, c.source_column, c.source_value, path) for i, j, c in cells]
+            columns = list(zip(*rows)) if rows else [()] * len(FEATURE_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    arrow = to_arrow_schema(FEATURE_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, FEATURE_SCHEMA)
+
+
+def read_feature_files(paths: Any, *, spark: SparkSession | None = None, **filters: Any) -> DataFrame:
+    """read_features() through Spark's file reader: any file system, folders and patterns included."""
+    names = [str(paths)] if isinstance(paths, (str, Path)) else [str(p) for p in paths]
+    return feature_tables((spark or session()).read.format("binaryFile").load(names), **filters)
+
+
 def cells_of(features: DataFrame) -> CellFrame:
     return CellFrame(features.select(*(F.col(f.name) for f in CELL_SCHEMA)))
