@@ -5,14 +5,16 @@ of an item; an item of fewer words, but not none, is one window. As containment
 word: its rarest over all documents. Documents are joined with windows on that word; a candidate must fit between the ends of
 the document at the word's place (the length and positional bounds), and then all its words are compared in order.
 
-Windows are sent to all tasks in blocks of items of at most block_bytes of text; each further block is one more pass.
-Null or empty texts have no words. Windows of items with a null item_id are hits too, but add nothing to item_ids. Rows of items with one item_id are one item; repeated
-document rows each get their result. Other columns are kept; columns with the names added are replaced.
+Windows are sent to all tasks in blocks of items of at most block_bytes of text, an item that is longer by itself; their words are
+counted in one pass over the documents for all blocks. Blocks are matched one behind the other in the same pass, LANES of them at most,
+each in a Python worker of its own; more than that are one more pass for every LANES.
+Null or empty texts have no words. Windows of items with a null item_id are hits too, but add nothing to item_ids. Rows of items with one
+item_id are one item; repeated document rows each get their result. Other columns are kept; columns with the names added are replaced.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,14 @@ from .common import arrow_map, map_texts, slices, write_table
 @dataclass(frozen=True)
 class Settings:
     window: int = 10
-    block_bytes: int = 16 << 20
+    #: Text of a block of items: its windows and what is made of them take up to 100 times as much of the driver's memory.
+    block_bytes: int = 2 << 20
+
+
+#: Blocks that are matched in one pass.
+LANES = 4
+#: Places where a window may begin that are looked at at once.
+CANDIDATES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -43,19 +52,48 @@ class Index:
     names: list[str]
 
 
-def windows_of(items: list[tuple[str | None, str]], width: int):
-    """{words of a window: numbers of its items that have a name} and the items' names."""
+@dataclass(frozen=True)
+class Windows:
+    """The distinct windows of a block, and which items have them."""
+
+    words: np.ndarray
+    length: np.ndarray
+    pairs: np.ndarray  # (window, item) of items that have a name
+    names: list[str]
+
+
+def distinct_words(items: list[tuple[str | None, str]]) -> np.ndarray:
+    return np.unique(K.words(*K.utf8(pa.array([t for _, t in items], pa.string())), K.ALNUM)[0])
+
+
+def windows_of(items: list[tuple[str | None, str]], width: int) -> Windows:
     names = sorted({i for i, _ in items if i is not None})
     number = {n: k for k, n in enumerate(names)}
-    found: dict[tuple, set[int]] = {}
-    for name, text in items:
-        data, at = K.utf8(pa.array([text], pa.string()))
-        h = K.words(data, at, K.ALNUM)[0].tolist()
-        for i in range(max(1, len(h) - width + 1) if h else 0):
-            of = found.setdefault(tuple(h[i : i + width]), set())
-            if name is not None:
-                of.add(number[name])
-    return found, names
+    data, at = K.utf8(pa.array([t for _, t in items], pa.string()))
+    h, _, _, first = K.words(data, at, K.ALNUM)
+    size = np.diff(first)
+    count = np.where(size > 0, np.maximum(size - width + 1, 1), 0)
+    of = np.repeat(np.arange(len(items)), count)
+    start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(size[of], width)
+    words = np.zeros((len(of), width), np.uint64)
+    # Windows of equal words are told by 128 bits of hashes.
+    a, b = length.astype(np.uint64), ~length.astype(np.uint64)
+    for j in range(width):
+        inside = j < length
+        words[inside, j] = h[start[inside] + j]
+        a = K.mix(a * np.uint64(0x9E3779B97F4A7C15) + words[:, j])
+        b = K.mix(b * np.uint64(0xC2B2AE3D27D4EB4F) ^ words[:, j])
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    window = np.empty(len(order), np.int64)
+    window[order] = np.cumsum(new) - 1
+    own = np.array([-1 if n is None else number[n] for n, _ in items], np.int64)[of] if len(of) else of
+    named = own >= 0
+    pairs = np.unique(np.stack([window[named], own[named]], 1), axis=0) if named.any() else np.zeros((0, 2), np.int64)
+    one = order[new]
+    return Windows(words[one], length[one], pairs, names)
 
 
 def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -82,29 +120,24 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(docs: DataFrame, items: list[tuple[str | None, str]], s: Settings) -> Index:
-    found, names = windows_of(items, s.window)
-    vocabulary = np.array(sorted({w for ws in found for w in ws}), np.uint64)
-    rarity = dict(zip(vocabulary.tolist(), word_counts(docs, vocabulary).tolist()))
-    rows = []
-    for ws, of in found.items():
-        at = min(range(len(ws)), key=lambda j: (rarity[ws[j]], ws[j], j))
-        rows.append((ws[at], at, ws, sorted(of)))
-    rows.sort(key=lambda r: (r[0], r[2]))
-    tokens, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
-    words = np.zeros((len(rows), s.window), np.uint64)
-    for i, r in enumerate(rows):
-        words[i, : len(r[2])] = r[2]
-    return Index(
-        tokens,
-        np.append(first, len(rows)).astype(np.int64),
-        np.array([r[1] for r in rows], np.int64),
-        np.array([len(r[2]) for r in rows], np.int64),
-        words,
-        np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int64),
-        np.array([x for r in rows for x in r[3]], np.int64),
-        names,
-    )
+def build(w: Windows, vocabulary: np.ndarray, counts: np.ndarray) -> Index:
+    """The windows by the rarest word of each, the least hash of equally rare ones."""
+    rank = np.empty(len(vocabulary), np.int64)
+    rank[np.lexsort((vocabulary, counts))] = np.arange(len(vocabulary))
+    ranks = np.full(w.words.shape, len(vocabulary), np.int64)
+    for j in range(w.words.shape[1]):
+        inside = j < w.length
+        ranks[inside, j] = rank[np.searchsorted(vocabulary, w.words[inside, j])]
+    offset = ranks.argmin(axis=1) if len(ranks) else np.zeros(0, np.int64)
+    token = w.words[np.arange(len(offset)), offset]
+    order = np.argsort(token, kind="stable")
+    tokens, first = np.unique(token[order], return_index=True)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    window, item = place[w.pairs[:, 0]], w.pairs[:, 1]
+    by_window = np.lexsort((item, window))
+    items_first = np.searchsorted(window[by_window], np.arange(len(order) + 1))
+    return Index(tokens, np.append(first, len(order)).astype(np.int64), offset[order], w.length[order], w.words[order], items_first, item[by_window], w.names)
 
 
 def expand(first: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,31 +155,51 @@ def match(x: Index, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
         return none, none
     k = np.minimum(np.searchsorted(x.tokens, h), len(x.tokens) - 1)
     pos = np.flatnonzero(x.tokens[k] == h)
-    which, win = expand(x.first, k[pos])
-    start = pos[which] - x.offset[win]
-    row = np.searchsorted(first, pos, "right")[which] - 1
-    fits = (start >= first[row]) & (start + x.length[win] <= first[row + 1])
-    start, win = start[fits], win[fits]
-    same = np.ones(len(start), bool)
-    for j in range(x.words.shape[1]):
-        inside = j < x.length[win]
-        same &= ~inside | (h[np.minimum(start + j, len(h) - 1)] == x.words[win, j])
-    return start[same], win[same]
+    k, row = k[pos], np.searchsorted(first, pos, "right") - 1
+    starts, windows = [none], [none]
+    # A common word may begin very many candidates: they are made and verified in runs.
+    for a, b in K.chunks(np.concatenate([[0], np.cumsum(x.first[k + 1] - x.first[k])]), CANDIDATES):
+        which, win = expand(x.first, k[a:b])
+        which += a
+        start = pos[which] - x.offset[win]
+        fits = (start >= first[row[which]]) & (start + x.length[win] <= first[row[which] + 1])
+        start, win = start[fits], win[fits]
+        for j in range(x.words.shape[1]):
+            same = (j >= x.length[win]) | (h[np.minimum(start + j, len(h) - 1)] == x.words[win, j])
+            start, win = start[same], win[same]
+        starts.append(start)
+        windows.append(win)
+    return np.concatenate(starts), np.concatenate(windows)
+
+
+def blocks_of(items: DataFrame, most: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in runs of at most `most` bytes of text, one at least; rows of one item_id may be in several."""
+    held, size = [], 0
+    for r in items.select("item_id", "text").toLocalIterator():
+        n = len(r["text"].encode("utf-8", "surrogatepass"))
+        if held and size + n > most:
+            yield held
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += n
+    yield held
 
 
 def find_windows(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with n_words, n_hit (words within occurring windows), hit_spans (their runs: start, end) and item_ids (sorted as strings)."""
     spark = docs.sparkSession
+    # In an order of their own, so that both times blocks are the same.
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, math.ceil(size / s.block_bytes))
+    items = items.orderBy(F.xxhash64("item_id", "text"), "item_id", "text")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     added = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("hit_spans", span), ("item_ids", T.ArrayType(T.StringType()))]
     out = docs.drop(*(n for n, _ in added))
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(blocks)) == b) if blocks > 1 else items
-        index = build(docs, [(r["item_id"], r["text"]) for r in own.collect()], s)
-        sent = spark.sparkContext.broadcast(index)
+    # All that is kept of a block is its distinct words, until its windows are matched.
+    words = [distinct_words(block) for block in blocks_of(items, s.block_bytes)]
+    vocabulary = np.unique(np.concatenate(words))
+    counts = word_counts(docs, vocabulary)
+    for b, block in enumerate(blocks_of(items, s.block_bytes)):
+        sent = spark.sparkContext.broadcast(build(windows_of(block, s.window), vocabulary, counts))
         text_at, before = out.columns.index("text"), b > 0
         places = [out.columns.index(c) for c in ("hit_spans", "item_ids")] if before else None
 
@@ -192,7 +245,7 @@ def find_windows(docs: DataFrame, items: DataFrame, s: Settings = Settings()) ->
             return f
 
         out = map_texts(out, added, make)
-        if b + 1 < blocks:
+        if (b + 1) % LANES == 0 and b + 1 < len(words):
             out = write_table(out, "windows")
     return out
 
