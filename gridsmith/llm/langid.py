@@ -5,9 +5,8 @@ the last phrase ended, the longest match in the language's text is the next phra
 length, over the length of the text, estimate its cross entropy; the language with the least wins, ties by name.
 
 Texts are read as bytes: A-Z and the capitals of Latin-1 are lower-cased, and each run of bytes that are neither letters nor
-outside ASCII becomes one symbol. The sample is whole documents: the first by a hash of doc_id among those of an eighth of bytes_per_language
-or less, as many as docs_per_language and bytes_per_language allow, one at least; a language that has only longer ones learns from the
-shortest.
+outside ASCII becomes one symbol. The sample is whole documents: of the first 4 * docs_per_language by a hash of doc_id, those of an eighth of
+bytes_per_language or less, as many as docs_per_language and bytes_per_language allow; without any of these the shortest.
 
 Whole texts are parsed. For speed, all parts of SEGMENT symbols of all texts are parsed at once, each from the automaton's start; then
 every part is parsed again from the state in which the part before it ended, until no such state changes any more. Two parses that once
@@ -34,8 +33,8 @@ from .common import held_out, map_texts
 SEGMENT = 256
 SHARPNESS = 20.0
 UNDETERMINED = "und"
-#: Documents that are sorted for each one that is learned from, about.
-CANDIDATES = 16
+#: Documents that are looked at for each one that is learned from.
+CANDIDATES = 4
 #: A short document takes no more than this part of its language's sample.
 SHARE = 8
 LETTER = re.compile(r"[^\W\d_]")
@@ -169,20 +168,21 @@ def parse_parts(t: np.ndarray, grid: np.ndarray, began: np.ndarray) -> tuple[np.
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     """A model from documents that have a language and are not held out."""
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    size, short = F.octet_length("text"), s.bytes_per_language // SHARE
-    # A language's candidates: about CANDIDATES * docs_per_language of its short documents, by a hash; without any, its shortest one.
-    counts = known.groupBy("lang").agg(F.count_if(size <= short).alias("short"), F.min(size).alias("least"))
+    # Candidates are chosen without their texts: of about twice as many as wanted, by a threshold of a hash, the first by that hash.
+    most = CANDIDATES * s.docs_per_language
     place = F.xxhash64("doc_id").bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    wanted = F.when(F.col("short") == 0, size == F.col("least")).otherwise((size <= short) & (place * F.col("short") < CANDIDATES * s.docs_per_language))
-    first = known.join(F.broadcast(counts), "lang").filter(wanted).select("doc_id", "lang", F.md5("text").alias("key"), size.alias("size")).distinct()
-    order = Window.partitionBy("lang").orderBy(place, "doc_id", "key")
-    first = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= s.docs_per_language)
-    sums = F.sum("size").over(Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
-    first = first.withColumn("sum", sums).filter((F.col("n") == 1) | (F.col("sum") <= s.bytes_per_language)).select("doc_id", "lang", "key", "n")
-    # The right side of this join has docs_per_language rows for each language at most.
-    # Digests are compared behind the join, so that they are made for the few rows that it leaves.
-    found = known.join(F.broadcast(first), ["doc_id", "lang"]).filter(F.startswith(F.md5("text"), F.col("key")))
-    rows = found.select("lang", "n", "text").distinct().orderBy("lang", "n")
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    near = known.join(F.broadcast(counts), "lang").filter(place * F.col("rows") < 2 * most + 64).select("doc_id", "lang", place.alias("place"))
+    of_language = Window.partitionBy("lang")
+    first = near.withColumn("n", F.row_number().over(of_language.orderBy("place", "doc_id"))).filter(F.col("n") <= most).select("doc_id", "lang", "place").distinct()
+    # A few hundred rows for each language, now with their texts: short ones first, the shortest of the others last.
+    size, short = F.octet_length("text"), s.bytes_per_language // SHARE
+    rows = known.join(F.broadcast(first), ["doc_id", "lang"]).withColumns({"size": size, "long": F.when(size > short, size).otherwise(0)})
+    rows = rows.dropDuplicates(["lang", "text"]).withColumn("n", F.row_number().over(of_language.orderBy("long", "place", "doc_id", "text")))
+    rows = rows.filter((F.col("n") == 1) | (F.col("long") == 0)).filter(F.col("n") <= s.docs_per_language)
+    sums = F.sum("size").over(of_language.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("sum", sums).filter((F.col("n") == 1) | (F.col("sum") <= s.bytes_per_language))
+    rows = rows.select("lang", "n", "text").orderBy("lang", "n")
     held: dict[str, list[bytes]] = {}
     for r in rows.toLocalIterator():
         data, at = K.utf8(pa.array([r["text"]], pa.string()))
