@@ -64,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op3_chat_preferences": chat.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op5_decontamination": decontam.SQL,

@@ -369,3 +369,31 @@ def drop_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return drop_repeats(docs.select("doc_id", "text"), s).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 200 bytes by its digest, in parts of 1000 windows, as hexadecimal text.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), part AS (
+  SELECT r, a, substr(x, 2 * a + 1, 2 * (1000 + 199)) AS p FROM (SELECT r, x, unnest(range(0, length(x) // 2, 1000)) AS a FROM d)
+), w AS (
+  SELECT r, a + i AS i, md5_number(substr(p, 2 * i + 1, 400)) AS k
+  FROM (SELECT r, a, p, unnest(range(0, least(1000, length(p) // 2 - 199))) AS i FROM part WHERE length(p) >= 400)
+), twice AS (
+  SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), hit AS (
+  SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200 AS opens FROM w SEMI JOIN twice USING (k)
+), run AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(opens::INTEGER) OVER (PARTITION BY r ORDER BY i) AS g FROM hit) GROUP BY r, g
+), gap AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM run
+  UNION ALL SELECT r, max(b), NULL FROM run GROUP BY r
+), kept AS (
+  SELECT r, string_agg(CASE WHEN gap.b IS NULL THEN substr(x, 2 * gap.a + 1) ELSE substr(x, 2 * gap.a + 1, 2 * (gap.b - gap.a)) END, '' ORDER BY gap.a) AS x
+  FROM gap JOIN d USING (r) GROUP BY r
+), gone AS (SELECT r, sum(b - a)::BIGINT AS n, count(*) AS runs FROM run GROUP BY r)
+SELECT doc_id, length(d.x) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+"""
