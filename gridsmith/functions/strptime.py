@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .parsed import once
+
 # What Python's strptime accepts for each directive.
 DIRECTIVES = {
     "d": r"3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9]",
@@ -31,11 +33,6 @@ SEPARATOR = "\x01"
 Parts = dict[str, Column]
 
 
-def once(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x) with x computed once, wherever the optimizer copies the whole expression to."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def compile(format: str) -> Callable[[Column, Callable[[Parts], Column]], Column] | None:
     """A function from text and what to make of its parts to that, null where it doesn't match; None if a directive is not known here."""
     pattern, names, i = "", [], 0

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..diagnostics import TableError
+from ..functions.parsed import once
+from ..functions.parsers import literal_regex
 from ..sources.cells import COLUMNS, CellFrame
 
 #: Fixed value: the most keys that one numeric range may stand for.
@@ -28,11 +30,12 @@ def separator(text: Any) -> str:
 
 
 def outcome(values: Column, error: Column, code: Column | None = None) -> Column:
-    return F.struct(F.when(error.isNull(), values).alias("items"), error.alias("error"), F.when(error.isNotNull(), code if code is not None else F.lit("transform_failed")).alias("code"))
+    code = code if code is not None else F.lit("transform_failed")
+    return once(error, lambda e: F.struct(F.when(e.isNull(), values).alias("items"), e.alias("error"), F.when(e.isNotNull(), code).alias("code")))
 
 
 def parts_of(c: Column, sep: str) -> Column:
-    return F.split(c, "\\Q" + sep + "\\E", -1)
+    return F.split(c, literal_regex(sep), -1)
 
 
 @dataclass(frozen=True)
@@ -45,16 +48,18 @@ class NumericRange:
         separator(self.separator)
 
     def expand(self, c: Column) -> Column:
-        p = parts_of(c, self.separator)
         whole = lambda x: F.when(F.trim(x).rlike(r"\A[+-]?[0-9]+\z"), F.trim(x).try_cast("bigint"))
-        a, b = whole(F.get(p, F.lit(0))), whole(F.get(p, F.lit(1)))
-        bad = (F.size(p) != 2) | a.isNull() | b.isNull() | (a > b)
-        size = b - a + 1
-        error = F.when(F.size(p) == 1, F.lit(None).cast("string")).when(F.coalesce(bad, F.lit(True)), F.concat(F.lit("Invalid numeric range: "), c)).when(size > MOST_KEYS, F.concat(F.lit(f"A numeric range stands for {MOST_KEYS} keys at most: "), c))
-        code = F.when(F.coalesce(bad, F.lit(True)), F.lit("transform_failed")).otherwise(F.lit("expansion_limit"))
-        ok = F.coalesce(~bad & (size <= MOST_KEYS), F.lit(False))
-        keys = F.when(F.size(p) == 1, F.array(c)).when(ok, F.transform(F.sequence(F.when(ok, a).otherwise(0), F.when(ok, b).otherwise(0)), lambda x: x.cast("string")))
-        return outcome(keys, error, code)
+        ends = lambda p: F.struct(F.size(p).alias("n"), whole(F.get(p, F.lit(0))).alias("a"), whole(F.get(p, F.lit(1))).alias("b"))
+
+        def keys(x: Column) -> Column:
+            n, a, b = x["n"], x["a"], x["b"]
+            fits = F.coalesce((n == 2) & (a <= b), F.lit(False))
+            few = b - a < MOST_KEYS
+            error = F.when(n == 1, F.lit(None).cast("string")).when(~fits, F.concat(F.lit("Invalid numeric range: "), c)).when(~few, F.concat(F.lit(f"A numeric range stands for {MOST_KEYS} keys at most: "), c))
+            spread = F.transform(F.sequence(F.when(fits & few, a).otherwise(0), F.when(fits & few, b).otherwise(0)), lambda k: k.cast("string"))
+            return outcome(F.when(n == 1, F.array(c)).otherwise(spread), error, F.when(fits, "expansion_limit").otherwise("transform_failed"))
+
+        return once(once(parts_of(c, self.separator), ends), keys)
 
 
 @dataclass(frozen=True)
@@ -67,13 +72,15 @@ class AlphabeticRange:
         separator(self.separator)
 
     def expand(self, c: Column) -> Column:
-        p = parts_of(c, self.separator)
-        a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-        same = (a.rlike(r"\A[a-z]\z") & b.rlike(r"\A[a-z]\z")) | (a.rlike(r"\A[A-Z]\z") & b.rlike(r"\A[A-Z]\z"))
-        ok = F.coalesce((F.size(p) == 2) & same & (a <= b), F.lit(False))
-        error = F.when((F.size(p) > 1) & ~ok, F.concat(F.lit("Invalid alphabetic range: "), c))
-        keys = F.when(F.size(p) == 1, F.array(c)).when(ok, F.transform(F.sequence(F.when(ok, F.ascii(a)).otherwise(65), F.when(ok, F.ascii(b)).otherwise(65)), lambda x: F.char(x)))
-        return outcome(keys, error)
+        def keys(p: Column) -> Column:
+            a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+            alike = F.concat(a, b).rlike(r"\A(?:[a-z]{2}|[A-Z]{2})\z") & (F.length(a) == 1)
+            ok = F.coalesce((F.size(p) == 2) & alike & (a <= b), F.lit(False))
+            error = F.when((F.size(p) > 1) & ~ok, F.concat(F.lit("Invalid alphabetic range: "), c))
+            letters = F.transform(F.sequence(F.when(ok, F.ascii(a)).otherwise(65), F.when(ok, F.ascii(b)).otherwise(65)), lambda x: F.char(x))
+            return outcome(F.when(F.size(p) == 1, F.array(c)).otherwise(letters), error)
+
+        return once(parts_of(c, self.separator), keys)
 
 
 def repeated(c: Column, n: Column, count_text: Column, value: Column, found: Column) -> Column:
@@ -185,28 +192,23 @@ class ColumnGroupExpander:
     def transform(self, cells: CellFrame, context: Any, *, schema: Any = None) -> CellFrame:
         df, range_rule, repeat_rule = cells.df, as_range_rule(self.range_rule), as_repeat_rule(self.repeat_rule)
         fail = lambda message, code, **at: TableError(message, schema=schema, code=code, source_uri=at.pop("source_uri", cells.uri), **at)
-        if cells.empty or df.isEmpty():
+        if cells.empty:
             raise fail("The table has no rows", "table_empty")
-        sizes = df.groupBy("table_id", "row_idx").agg(F.count("*").alias("n"), F.min("source_row").alias("r"), F.min("source_uri").alias("u"))
-        width = sizes.filter("row_idx = 1").select("table_id", F.col("n").alias("w"))
-        if bad := sizes.join(width, "table_id").filter("n != w").orderBy("table_id", "row_idx").limit(1).collect():
-            raise fail(f"Row {bad[0]['r']} has {bad[0]['n']} cells, the key row {bad[0]['w']}", "ragged_row", row=bad[0]["r"], source_uri=bad[0]["u"])
         keys = df.filter("row_idx = 1")
-        if bad := keys.filter((F.col("col_idx") == 1) & (F.col("value") != self.key_label)).limit(1).collect():
-            raise fail(f"The first row must be {self.key_label!r}", "invalid_transform", row=bad[0]["source_row"], column=bad[0]["source_column"], source_uri=bad[0]["source_uri"], source_value=bad[0]["source_value"], logical_value=bad[0]["value"])
-        groups = keys.filter("col_idx > 1").select("table_id", "col_idx", F.struct(*COLUMNS[3:]).alias("key"), range_rule.expand(F.col("value")).alias("e"))
-        self.raise_first(groups, "key", fail)
-        groups = groups.select("table_id", "col_idx", F.col("e.items").alias("keys"))
-        values = df.filter("row_idx > 1 AND col_idx > 1").join(groups, ["table_id", "col_idx"])
-        spread = values.select("table_id", "row_idx", "col_idx", F.struct(*COLUMNS[3:]).alias("key"), repeat_rule.expand(F.col("value"), F.size("keys")).alias("e"), F.size("keys").alias("n"))
-        spread = spread.withColumn("e", F.when(F.col("e.error").isNotNull() | (F.size("e.items") == F.col("n")), F.col("e")).otherwise(F.struct(F.col("e.items").alias("items"), F.lit("A repeat rule must give one value for each key").alias("error"), F.lit("invalid_transform").alias("code"))))
-        self.raise_first(spread, "key", fail)
+        groups = keys.filter("col_idx > 1").select("table_id", "col_idx", F.struct(*COLUMNS[3:]).alias("cell"), range_rule.expand(F.col("value")).alias("e"))
+        opened = groups.select("table_id", "col_idx", F.col("e.items").alias("keys"))
+        values = df.filter("row_idx > 1 AND col_idx > 1").join(opened, ["table_id", "col_idx"])
+        spread = values.select("table_id", "row_idx", "col_idx", F.struct(*COLUMNS[3:]).alias("cell"), repeat_rule.expand(F.col("value"), F.size("keys")).alias("e"), F.size("keys").alias("n"))
+        uneven = F.struct(F.col("e.items").alias("items"), F.lit("A repeat rule must give one value for each key").alias("error"), F.lit("invalid_transform").alias("code"))
+        spread = spread.withColumn("e", F.when(F.col("e.error").isNotNull() | (F.size("e.items") == F.col("n")), F.col("e")).otherwise(uneven))
+        self.raise_first(df, keys, groups, spread, fail)
+        groups = opened
         # Where each source column's logical columns begin: a window over the key rows only.
         before = groups.select("table_id", "col_idx", (F.sum(F.size("keys")).over(Window.partitionBy("table_id").orderBy("col_idx").rowsBetween(Window.unboundedPreceding, -1))).alias("b"))
         before = before.select("table_id", "col_idx", F.coalesce("b", F.lit(0)).cast("int").alias("b"))
         key_cells = keys.filter("col_idx > 1").join(groups, ["table_id", "col_idx"]).join(before, ["table_id", "col_idx"])
         out_keys = self.dealt(key_cells.withColumn("items", F.col("keys")))
-        rows = spread.select("table_id", "row_idx", "col_idx", "key.*", F.col("e.items").alias("items")).join(before, ["table_id", "col_idx"])
+        rows = spread.select("table_id", "row_idx", "col_idx", "cell.*", F.col("e.items").alias("items")).join(before, ["table_id", "col_idx"])
         return CellFrame(df.filter("col_idx = 1").select(*COLUMNS).unionByName(out_keys).unionByName(self.dealt(rows)), None, cells.uri)
 
     @staticmethod
@@ -214,9 +216,29 @@ class ColumnGroupExpander:
         got = df.select("table_id", "row_idx", "b", *COLUMNS[4:], F.posexplode("items").alias("p", "value"))
         return got.withColumn("col_idx", (F.col("b") + F.col("p") + 2).cast("int")).select(*COLUMNS)
 
-    @staticmethod
-    def raise_first(df: DataFrame, cell: str, fail: Any) -> None:
-        found = df.filter(F.col("e.error").isNotNull()).select("e.error", "e.code", f"{cell}.*", "table_id", "col_idx").orderBy("table_id", "source_row", "col_idx").limit(1).collect()
-        if found:
-            r = found[0]
-            raise fail(r["error"], r["code"], row=r["source_row"], column=r["source_column"], source_uri=r["source_uri"], source_value=r["source_value"], logical_value=r["value"])
+    def raise_first(self, df: DataFrame, keys: DataFrame, groups: DataFrame, spread: DataFrame, fail: Any) -> None:
+        """The first thing that is wrong, by kind, table and place, found in one job."""
+        cell = [F.col(f"cell.{n}").alias(n) for n in COLUMNS[3:]]
+        nothing = {"value": "string", "source_row": "int", "source_column": "int", "source_value": "string", "source_uri": "string"}
+
+        def problem(rank: int, at: DataFrame, error: Column, code: Column, columns: list[Column]) -> DataFrame:
+            return at.select(F.lit(rank).alias("rank"), "table_id", "col_idx", error.alias("error"), code.alias("code"), *columns)
+
+        sizes = df.groupBy("table_id", "row_idx").agg(F.count("*").alias("n"), F.min("source_row").alias("source_row"), F.min("source_uri").alias("source_uri"))
+        width = sizes.filter("row_idx = 1").select("table_id", F.col("n").alias("w"))
+        ragged = sizes.join(width, "table_id").filter("n != w").withColumn("col_idx", F.lit(0))
+        text = F.concat(F.lit("Row "), F.col("source_row").cast("string"), F.lit(" has "), F.col("n").cast("string"), F.lit(" cells, the key row "), F.col("w").cast("string"))
+        own = [F.col(n) if n in ("source_row", "source_uri") else F.lit(None).cast(t).alias(n) for n, t in nothing.items()]
+        wrong_head = keys.filter((F.col("col_idx") == 1) & (F.col("value") != self.key_label))
+        found = problem(1, ragged, text, F.lit("ragged_row"), own)
+        found = found.unionByName(problem(2, wrong_head, F.lit(f"The first row must be {self.key_label!r}"), F.lit("invalid_transform"), [F.col(n) for n in nothing]))
+        for rank, frame in ((3, groups), (4, spread)):
+            found = found.unionByName(problem(rank, frame.filter(F.col("e.error").isNotNull()), F.col("e.error"), F.col("e.code"), cell))
+        any_cell = df.limit(1).select(F.lit(9).alias("rank"), F.lit("").alias("table_id"), F.lit(0).alias("col_idx"), F.lit("").alias("error"), F.lit("").alias("code"), *(F.lit(None).cast(t).alias(n) for n, t in nothing.items()))
+        got = found.unionByName(any_cell).orderBy("rank", "table_id", "source_row", "col_idx").limit(1).collect()
+        if not got:
+            raise fail("The table has no rows", "table_empty")
+        r = got[0]
+        if r["rank"] < 9:
+            more = {} if r["rank"] == 1 else {"column": r["source_column"], "source_value": r["source_value"], "logical_value": r["value"]}
+            raise fail(r["error"], r["code"], row=r["source_row"], source_uri=r["source_uri"], **more)
