@@ -45,9 +45,7 @@ BEFORE, BEHIND = 0, (1 << 48) - 1
 @dataclass(frozen=True)
 class Settings:
     #: Word pairs of a shard, about.
-    shard_pairs: int = 2_500_000
-    #: Without effect: frequent first words are counted over all rows.
-    judged: float = 0.02
+    shard_pairs: int = 1_200_000
 
 
 def text_key(x: np.ndarray) -> bytes:

@@ -32,6 +32,8 @@ class Settings:
     bits: int = 20
     #: At most so many labelled rows, the first by a hash of doc_id, are learned from.
     most_labelled: int = 8_000
+    #: Of these, rows with texts of more bytes are not learned from; all rows are scored.
+    most_bytes: int = 1 << 16
     epochs: int = 3
     alpha: float = 0.3
     beta: float = 1.0
@@ -114,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
         return Model(np.zeros(1 << s.bits, np.float32), 0.0)
     kind = docs.schema["doc_id"].dataType
     few = spark.createDataFrame([(r["_id"], r["_y"]) for r in picked], T.StructType([T.StructField("_id", kind), T.StructField("_y", T.IntegerType())]))
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(few), "_id").select("_id", "_y", "text")
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= s.most_bytes).join(F.broadcast(few), "_id").select("_id", "_y", "text")
     bits = s.bits
 
     def make():
