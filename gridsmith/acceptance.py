@@ -346,6 +346,16 @@ def p12_each_python(spark, sf):
     return found.select("k", F.array_join("x", "-").alias("x"))
 
 
+@query("p18_custom_batch", "SELECT s_suppkey AS k, length(s_name)::BIGINT AS x FROM supplier WHERE s_suppkey % 3 <> 0")
+def p18_custom_batch(spark, sf):
+    def sizes(texts: pd.Series) -> list:
+        return [ValueError("third") if t.startswith("*") else len(t) for t in texts]
+
+    text = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "*").otherwise(""), F.col("s_name"))
+    got = keyed(read(spark, sf, "supplier"), "s_suppkey", text)
+    return api.lenient(one(P.custom(sizes, returns="bigint", batch=True)), got, ordinal="n").records.select("k", "x")
+
+
 @query("p16_identity", "SELECT c_custkey AS k, c_name AS x FROM customer")
 def p16_identity(spark, sf):
     return api.lenient(one(P.identity()), keyed(read(spark, sf, "customer"), "c_custkey", F.col("c_name")), ordinal="n").records.select("k", "x")

@@ -404,20 +404,24 @@ def identity() -> Parser:
     return Parser("identity", lambda c, dtype, cell: ParsedExpr(c, NO_ERROR(), dtype, sure=True), "identity()", kind=lambda dtype: dtype)
 
 
-def custom(function: Callable[[Any, Any], Any], *, returns: T.DataType | str = "string", name: str | None = None) -> Parser:
+def custom(function: Callable[..., Any], *, returns: T.DataType | str = "string", name: str | None = None, batch: bool = False) -> Parser:
     """A Python function (value, CellContext) as a parser, in Arrow batches; returns is the type of its results.
 
-    An exception fails the cell with its text; a TableError keeps its message and code.
+    An exception fails the cell with its text; a TableError keeps its message and code. With batch=True the function is called once for
+    each batch, with a pandas Series of texts, and gives as many values; an exception among them fails its cell.
     """
     kind = type_of(returns)
 
     def build(c, dtype, cell):
         if cell is None:
             return ParsedExpr(F.lit(None).cast(kind), NO_ERROR(), kind)
-        from ..hooks import cell_udf
+        from ..hooks import batch_udf, cell_udf
 
+        if batch:
+            got = let(cell, batch_udf(function, kind, cell)(as_text(c, dtype)))
+            return ParsedExpr(got["value"], got["error"], kind, got["code"])
         got = cell_udf(function, kind, cell)(F.struct(c.alias("value"), cell.row.alias("row"), cell.column.alias("column"), cell.item_id.alias("item_id"), cell.source_value.alias("source_value"), cell.source_uri.alias("source_uri")))
         got = let(cell, F.when(c.isNotNull(), got))
         return ParsedExpr(got["value"], got["error"], kind, got["code"])
 
-    return Parser(name or getattr(function, "__qualname__", type(function).__qualname__), build, name or getattr(function, "__qualname__", type(function).__qualname__), native=False, function=function, kind=kind)
+    return Parser(name or getattr(function, "__qualname__", type(function).__qualname__), build, name or getattr(function, "__qualname__", type(function).__qualname__), native=False, function=None if batch else function, kind=kind)

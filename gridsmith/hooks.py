@@ -58,6 +58,35 @@ def cell_udf(function: Callable[[Any, Any], Any], kind: T.DataType, cell: CellCo
     return F.pandas_udf(run, result_type(kind))
 
 
+def outcome_of(got: Any) -> tuple[Any, str | None, str | None]:
+    """A batch function's item: a value, or an exception that fails its cell."""
+    if isinstance(got, TableError):
+        return None, got.diagnostic.message, str(got.diagnostic.code)
+    if isinstance(got, Exception):
+        return None, str(got) or type(got).__name__, None
+    return plain(got), None, None
+
+
+def batch_udf(function: Callable[[pd.Series], Any], kind: T.DataType, cell: CellColumns):
+    """A UDF from texts to (value, error, code) by one call of function for each Arrow batch, without its nulls."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        there = texts[texts.notna()]
+        rows: list[tuple[Any, str | None, str | None]] = [(None, None, None)] * len(texts)
+        if len(there):
+            try:
+                got = list(function(there))
+                if len(got) != len(there):
+                    raise ValueError(f"a batch of {len(there)} cells gave {len(got)} values")
+            except Exception as e:
+                got = [e] * len(there)
+            for at, x in zip(texts.index.get_indexer(there.index), got):
+                rows[at] = outcome_of(x)
+        return as_frame(rows)
+
+    return F.pandas_udf(run, result_type(kind))
+
+
 def default_udf(function: Callable[[Any], Any], kind: T.DataType, cell: CellColumns):
     """A UDF from a record's struct to the value a default factory gives."""
     name, label, data = cell.field, cell.label, dict(cell.user_data or {})
