@@ -711,7 +711,7 @@ def a12_pytest_facade(spark, sf):
 
 
 # Names that the package gives out.
-EXPORTS = ["CellDSL", "CellFrame", "ColumnGroupExpander", "ColumnTable", "Diagnostic", "ParseContext", "RowTable", "SchemaDefinitionError", "TableCell", "TableError", "TableErrors", "TableWarning", "TransformerPipeline", "boolean", "choice", "compose", "compose_cell_dsls", "compose_transformers", "date", "datetime", "decimal", "discriminator", "discriminator_field", "each", "enum", "field", "floating", "id_field", "identity", "integer", "literal", "map_value", "optional", "parse_table", "parse_table_as", "read_tables", "reference", "split", "string", "validate_table"]
+EXPORTS = ["AlphabeticRange", "CellContext", "CellDSLChain", "DefaultContext", "DiagnosticSeverity", "FeatureDiagnostic", "FeatureTable", "Field", "FieldContract", "NumericRange", "PrefixRepeat", "RangeRule", "RecordSource", "ReferenceSpec", "RepeatRule", "SuffixRepeat", "TableContract", "TableData", "TableErrorCode", "TableFields", "TableTransformer", "ValidationResult", "VariantContract", "check_feature", "discover_feature_tables", "CellDSL", "CellFrame", "ColumnGroupExpander", "ColumnTable", "Diagnostic", "ParseContext", "RowTable", "SchemaDefinitionError", "TableCell", "TableError", "TableErrors", "TableWarning", "TransformerPipeline", "boolean", "choice", "compose", "compose_cell_dsls", "compose_transformers", "date", "datetime", "decimal", "discriminator", "discriminator_field", "each", "enum", "field", "floating", "id_field", "identity", "integer", "literal", "map_value", "optional", "parse_table", "parse_table_as", "read_tables", "reference", "split", "string", "validate_table"]
 
 
 @query("a13_exports", values(*((n,) for n in EXPORTS), names="name"))

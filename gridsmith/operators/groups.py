@@ -7,7 +7,7 @@ maps a value cell and the number of keys to struct<values, error, code>. Every a
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -143,6 +143,18 @@ def as_frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=object) for i, name in enumerate(("items", "error", "code"))})
 
 
+class RangeRule(Protocol):
+    """What the keys of a group are: a column function from a key cell to struct<items, error, code>."""
+
+    def expand(self, c: Column) -> Column: ...
+
+
+class RepeatRule(Protocol):
+    """What the cells of a group are: a column function from a cell and the number of keys to struct<items, error, code>."""
+
+    def expand(self, c: Column, n: Column) -> Column: ...
+
+
 @dataclass(frozen=True)
 class PythonRange:
     """A range rule as a Python function from a key cell's text to the keys it stands for, in Arrow batches."""

@@ -108,6 +108,36 @@ def test_checks(files):
     assert e.value.code == "checker_failed"
 
 
+GERMAN = """\
+# language: de
+Funktionalität: Bojen
+  Grundlage: immer
+    Angenommen die Bojen:
+      | Ort | Tiefe |
+      | Nord | 7    |
+  Szenariogrundriss: je eine
+    Wenn eine Boje:
+      | Ort | Tiefe |
+      | <o> | <t>   |
+    Beispiele:
+      | o  | t  |
+      | Ost | 40 |
+"""
+
+
+def test_keywords_of_other_languages(tmp_path, spark):
+    (tmp_path / "b.feature").write_text(GERMAN, encoding="utf-8")
+    (tmp_path / "c.feature").write_text("# language: xx\nFeature: x\n")
+    found = discover_feature_tables(tmp_path / "b.feature")
+    assert [(t.feature, t.scenario, t.step, t.to_rows()[1]) for t in found] == [("Bojen", "immer", "die Bojen:", ["Nord", "7"]), ("Bojen", "je eine", "eine Boje:", ["Ost", "40"])]
+    # Through Spark's own file reader, which any file system has, the same cells.
+    cells = G.read_feature_files(str(tmp_path / "b.feature"), step="eine Boje:")
+    assert sorted(r["value"] for r in cells.collect()) == ["40", "Ort", "Ost", "Tiefe"]
+    assert sorted(r["source_row"] for r in cells.select("source_row").distinct().collect()) == [9, 13]
+    with pytest.raises(G.TableError):
+        discover_feature_tables(tmp_path / "c.feature")
+
+
 def test_command_line(files, capsys):
     schema = f"{files}/schemas.py:Users"
     assert main(["check", f"{files}/a.feature", "--schema", schema, "--step", "the users:"]) == 1
