@@ -135,8 +135,11 @@ def check_records(c: Converted, context: ParseContext) -> Converted:
         else:
             f = p.fields[k.at]
             cell = F.coalesce(*(F.try_element_at("_source.cells", F.lit(x)) for x in f.labels))
-            at = {"row": cell["source_row"], "column": cell["source_column"], "uri": F.coalesce(cell["source_uri"], F.col("_uri")), "name": f.name, "label": f.label, "source": cell["source_value"], "logical": cell["value"]}
-        made.append(F.when(bad, diag(k.code, k.message, phase=D.VALIDATION, step=0, step_ordinal=i, schema=p.name, severity=k.severity, item=F.col("_item"), ordinal=F.col("_ordinal"), **at)))
+            uri = F.coalesce(cell["source_uri"], F.col("_uri"))
+            at = {"row": cell["source_row"], "column": cell["source_column"], "uri": uri, "name": f.name, "label": f.label}
+            at |= {"source": cell["source_value"], "logical": cell["value"]}
+        at |= {"phase": D.VALIDATION, "step": 0, "step_ordinal": i, "schema": p.name, "severity": k.severity}
+        made.append(F.when(bad, diag(k.code, k.message, item=F.col("_item"), ordinal=F.col("_ordinal"), **at)))
     df = c.df
     if made:
         # Records with an error keep what they have; others have no diagnostic yet.
@@ -245,7 +248,11 @@ def check_tables(c: Converted) -> DataFrame | None:
             again = good.alias("g").join(often.alias("o"), on & (F.col("g._ordinal") > F.col("o.__first"))).select("g.*")
             f = c.plan.fields.get(k.fields[0])
             cell = F.coalesce(*(F.try_element_at("_source.cells", F.lit(x)) for x in f.labels)) if f else F.lit(None)
-            d = diag(k.code, k.message, phase=D.VALIDATION, step=2, step_ordinal=i, schema=c.plan.name, severity=k.severity, name=k.fields[0], label=f.label if f else None, ordinal=F.col("_ordinal"), row=cell["source_row"] if f else F.col("_row"), column=cell["source_column"] if f else F.col("_column"), uri=F.col("_uri"), item=F.col("_item"), source=cell["source_value"] if f else None)
+            place = {"row": F.col("_row"), "column": F.col("_column")}
+            if f:
+                place = {"row": cell["source_row"], "column": cell["source_column"], "source": cell["source_value"], "label": f.label}
+            at = {"phase": D.VALIDATION, "step": 2, "step_ordinal": i, "schema": c.plan.name, "severity": k.severity, "name": k.fields[0]}
+            d = diag(k.code, k.message, ordinal=F.col("_ordinal"), uri=F.col("_uri"), item=F.col("_item"), **at, **place)
             out.append(again.select("_table_id", d.alias("d")).select("_table_id", "d.*"))
         elif isinstance(k, AtLeast):
             counted[i] = F.count_if(F.coalesce(column_of(k.condition), F.lit(False))) < k.n
@@ -262,8 +269,13 @@ def check_tables(c: Converted) -> DataFrame | None:
         sums = tables.join(sums, "_table_id", "left")
         for i, k in own:
             if i in counted:
-                bad = F.coalesce(~F.expr(k.predicate.replace("value", f"__{i}")), F.lit(True)) if isinstance(k, Aggregate) else F.coalesce(F.col(f"__{i}"), F.lit(isinstance(k, AtLeast) and k.n > 0))
-                d = diag(k.code, k.message, phase=D.VALIDATION, step=2, step_ordinal=i, schema=c.plan.name, severity=k.severity, ordinal=F.lit(2**62), uri=F.col("__u"))
+                value = F.col(f"__{i}")
+                if isinstance(k, Aggregate):
+                    bad = F.coalesce(~F.expr(k.predicate.replace("value", f"__{i}")), F.lit(True))
+                else:
+                    bad = F.coalesce(value, F.lit(isinstance(k, AtLeast) and k.n > 0))
+                at = {"phase": D.VALIDATION, "step": 2, "step_ordinal": i, "schema": c.plan.name, "severity": k.severity}
+                d = diag(k.code, k.message, ordinal=F.lit(2**62), uri=F.col("__u"), **at)
                 out.append(sums.filter(bad).select("_table_id", d.alias("d")).select("_table_id", "d.*"))
     total = out[0]
     for x in out[1:]:
