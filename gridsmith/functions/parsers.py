@@ -303,39 +303,43 @@ class _Named(Exception):
 
 
 def each_item(inner: Parser, items: Column, kind: T.DataType, out: T.DataType, cell: CellColumns | None) -> ParsedExpr:
-    """inner for every item. What it uses more than once becomes a list of its own, whose items stand where it is used again."""
-    steps: list[Column] = []
+    """inner for every item, in one expression over the list, however often it is copied.
+
+    What inner uses more than once is added to the items, which are structs, step by step: each step sees the ones before in its own item.
+    """
+    named: list[str] = []
     sure = False
 
-    def attempt(x: Column, i: Column) -> ParsedExpr:
+    def attempt(s: Column) -> ParsedExpr:
         used = 0
 
         def bind(c: Column) -> Column:
             nonlocal used
             used += 1
-            if used > len(steps):
+            if used > len(named):
                 raise _Named(c)
-            return F.get(steps[used - 1], i)
-
-        return inner.apply(x, kind, replace(cell, bind=bind) if cell is not None and cell.bind is not None else None)
-
-    while True:
-        named = False
-
-        def item(x: Column, i: Column) -> Column:
-            nonlocal named, sure
-            try:
-                got = attempt(x, i)
-            except _Named as e:
-                named = True
-                return e.c
-            sure = got.sure
-            return got.value if sure else F.struct(got.value.alias("value"), got.error.alias("error"))
-
-        made = let(cell, F.transform(items, item))
-        if not named:
-            break
-        steps.append(made)
+            return s[named[used - 1]]
+
+        place = replace(cell if cell is not None else CellColumns("", "", *[F.lit(None)] * 5), bind=bind)
+        return inner.apply(s["x"], kind, place)
+
+    def step(s: Column) -> Column:
+        nonlocal sure, done
+        try:
+            got = attempt(s)
+        except _Named as e:
+            done = False
+            return F.struct(*(s[n].alias(n) for n in ["x", *named]), e.c.alias(f"b{len(named)}"))
+        sure = got.sure
+        return got.value if sure else F.struct(got.value.alias("value"), got.error.alias("error"))
+
+    made, done = F.transform(items, lambda x: F.struct(x.alias("x"))), False
+    while not done:
+        done = True
+        made = F.transform(made, step)
+        if not done:
+            named.append(f"b{len(named)}")
+    made = let(cell, made)
     if sure:
         return ParsedExpr(made, NO_ERROR(), out, sure=True)
     error = let(cell, F.get(F.filter(F.transform(made, lambda x: x["error"]), lambda e: e.isNotNull()), F.lit(0)))
