@@ -8,10 +8,10 @@ is exp(-logp / n_words).
 Pairs are dealt to shards by a hash of their first word, packed: a block of texts sends each shard one row of arrays of its distinct
 pairs, their counts, and the 16-bit numbers of the texts that hold them. A shard counts pairs and first words, joins the counts
 to the pairs, and sends on a sum for each text, the words that back off, and its counts of words, now dealt by a hash of
-the word, where the counts of words are joined to them. Sums of a block meet at last and are joined to the rows by a digest of
-the text. First words that occur more often than a shard is large, and the place before a first word, are dealt by a hash of
-the pair; their counts, fewer than there are shards, are sent to all tasks. Which words are so treated is counted over all
-rows and changes no result.
+the word in one row for each other shard, where the counts of words are joined to them. Sums of a block meet at last and are joined to
+the rows by a digest of the text. First words that occur more often than a shard is large, and the place before a first word, are dealt by
+a hash of the pair; the counts of such words, fewer than there are shards, are sent to all tasks, so nobody is asked for them either.
+Which words are so treated is counted over all rows and changes no result.
 
 Words are told apart by hashes of 48 bits. A null or empty text has n_words 0, logp 0 and a null perplexity. Rows of equal texts
 count as rows of their own and have equal scores. Other columns are kept; columns of the names added are replaced.
@@ -40,12 +40,14 @@ BLOCK = 1 << 14
 BLOCK_BYTES = 16 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 BEFORE, BEHIND = 0, (1 << 48) - 1
+#: Scores of a shard that are held before they are summed for each text.
+SUMMED = 1 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
     #: Word pairs of a shard, about.
-    shard_pairs: int = 1_200_000
+    shard_pairs: int = 1_800_000
 
 
 def text_key(x: np.ndarray) -> bytes:
@@ -106,8 +108,9 @@ def totals(docs: DataFrame, s: Settings) -> tuple[int, np.ndarray, np.ndarray]:
 
 PAIRS = [("shard", pa.int32()), ("block", pa.binary()), ("keys", pa.binary()), ("firsts", pa.binary()), ("sizes", pa.binary()), ("seconds", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())]
 PAIRS_SCHEMA = "shard int, block binary, keys binary, firsts binary, sizes binary, seconds binary, counts binary, docs binary"
-WORDS = [("shard", pa.int32()), ("block", pa.binary()), ("keys", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary())]
-WORDS_SCHEMA = "shard int, block binary, keys binary, words binary, counts binary, docs binary, sums binary"
+WORDS = [("shard", pa.int32()), *((n, pa.binary()) for n in ("block", "keys", "docs", "sums", "asked", "asked_docs", "asked_blocks", "asked_sizes", "words", "counts"))]
+WORDS_SCHEMA = "shard int, block binary, keys binary, docs binary, sums binary, asked binary, asked_docs binary, asked_blocks binary, asked_sizes binary, words binary, counts binary"
+SUMS = [(n, pa.binary()) for n in ("block", "keys", "docs", "sums")]
 SUMS_SCHEMA = "block binary, keys binary, docs binary, sums binary"
 
 
@@ -182,15 +185,38 @@ def pair_blocks(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
     return docs.select("text").transform(arrow_map, run, PAIRS_SCHEMA)
 
 
-def join_pairs(shards: int, often: np.ndarray, often_counts: np.ndarray):
-    """From a shard's pairs to sums of the pairs that other rows have too, words that back off, and counts of words."""
+def look_up(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each x is one of the ascending keys, its value or 0)."""
+    if not len(keys):
+        return np.zeros(len(x), bool), np.zeros(len(x))
+    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    there = keys[i] == x
+    return there, np.where(there, values[i], 0.0)
+
+
+def runs_of(x: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of runs of equal values."""
+    edge = np.append(starts(x), len(x)) if len(x) else np.zeros(1, np.int64)
+    return list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+
+
+def join_pairs(shards: int, total: int, often: np.ndarray, often_counts: np.ndarray):
+    """From a shard's pairs to sums of what is known here, words that back off, and counts of words.
+
+    Known are pairs that other rows have too, and words that occur so often that their counts were sent to all tasks.
+    Another shard gets one row of all that it is asked for and told.
+    """
+
+    def home(block: bytes) -> int:
+        return int.from_bytes(block[:4], "little") % shards
 
     def run(table: pa.Table) -> pa.Table:
-        out, first, second, doc, of = [], [], [], [], []
+        out: list[dict] = []
+        first, second, doc = [], [], []
         blocks: list[bytes] = []
         for r in table.to_pylist():
             if r["keys"] is not None:
-                out.append((int.from_bytes(r["block"][:4], "little") % shards, r["block"], r["keys"], None, None, b"", b""))
+                out.append({"shard": home(r["block"]), "block": r["block"], "keys": r["keys"], "docs": b"", "sums": b""})
                 continue
             sizes, counts = (np.frombuffer(zlib.decompress(r[c]), np.uint32) for c in ("sizes", "counts"))
             first.append(np.repeat(np.repeat(unpack(r["firsts"]), sizes), counts))
@@ -206,40 +232,46 @@ def join_pairs(shards: int, often: np.ndarray, often_counts: np.ndarray):
             c_first = np.diff(np.append(context, len(first))).astype(np.float64)
             seen = np.minimum.reduceat(doc, pair) != np.maximum.reduceat(doc, pair)
             words, counts = first[context], c_first.astype(np.int64)
-            if len(often):
-                i = np.minimum(np.searchsorted(often, words), len(often) - 1)
-                c_first = np.where(often[i] == words, often_counts[i], c_first)
+            frequent, known = look_up(often, often_counts, words)
+            c_first = np.where(frequent, known, c_first)
             ratio = np.log(c_pair / np.repeat(c_first, np.diff(np.append(np.searchsorted(pair, context), len(pair)))))
-            score = np.repeat(np.where(seen, ratio, 0.0), c_pair)
             head, scored = first == BEFORE, second != BEHIND
             found = np.repeat(seen, c_pair) & scored & ~head
             back = scored & ~found
+            frequent, known = look_up(often, np.log(BACKOFF * often_counts / max(total, 1)), second)
+            score = np.where(found, np.repeat(np.where(seen, ratio, 0.0), c_pair), known)
             # The first word of a row takes no factor.
-            score = np.where(found, score, np.where(head, -math.log(BACKOFF), 0.0))
-            use = scored & (found | head)
+            score = np.where(head, score - math.log(BACKOFF), score)
+            use = scored & (found | head | frequent)
             who, number = np.unique(doc[use], return_inverse=True)
             sums = np.bincount(number, score[use], len(who))
-            where = deal(K.mix(second[back]), shards)
+            for i, j in runs_of(who >> 16):
+                b = blocks[int(who[i] >> 16)]
+                out.append({"shard": home(b), "block": b, "docs": (who[i:j] & 65535).astype(np.uint16).tobytes(), "sums": sums[i:j].tobytes()})
+
+            to: dict[int, dict] = {}
+            back &= ~frequent
             w, d = second[back], doc[back]
+            where = deal(K.mix(w), shards)
             order = np.lexsort((d, where))
             w, d, where = w[order], d[order], where[order]
-            block_of = d >> 16
-            edge = np.append(starts(where, block_of), len(w)) if len(w) else np.zeros(1, np.int64)
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                out.append((int(where[i]), blocks[int(block_of[i])], None, pack(w[i:j]), None, (d[i:j] & 65535).astype(np.uint16).tobytes(), None))
-            edge = np.append(starts(who >> 16), len(who)) if len(who) else np.zeros(1, np.int64)
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                b = blocks[int(who[i] >> 16)]
-                out.append((int.from_bytes(b[:4], "little") % shards, b, None, None, None, (who[i:j] & 65535).astype(np.uint16).tobytes(), sums[i:j].tobytes()))
+            for i, j in runs_of(where):
+                own = runs_of(d[i:j] >> 16)
+                to[int(where[i])] = {
+                    "asked": pack(w[i:j]),
+                    "asked_docs": (d[i:j] & 65535).astype(np.uint16).tobytes(),
+                    "asked_blocks": b"".join(blocks[int(d[i + a] >> 16)] for a, _ in own),
+                    "asked_sizes": np.array([b - a for a, b in own], np.uint32).tobytes(),
+                }
             real = words != BEFORE
             words, counts = words[real], counts[real]
             where = deal(K.mix(words), shards)
             order = np.argsort(where, kind="stable")
             words, counts, where = words[order], counts[order], where[order]
-            edge = np.append(starts(where), len(words)) if len(words) else np.zeros(1, np.int64)
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                out.append((int(where[i]), None, None, pack(words[i:j]), zlib.compress(counts[i:j].tobytes(), 1), None, None))
-        return pa.Table.from_batches([batch_of(out, WORDS)])
+            for i, j in runs_of(where):
+                to.setdefault(int(where[i]), {}).update(words=pack(words[i:j]), counts=zlib.compress(counts[i:j].tobytes(), 1))
+            out += [{"shard": k, **r} for k, r in to.items()]
+        return pa.Table.from_batches([batch_of([tuple(r.get(n) for n, _ in WORDS) for r in out], WORDS)])
 
     return run
 
@@ -250,19 +282,32 @@ def join_words(total: int):
     def run(table: pa.Table) -> pa.Table:
         out, words, counts, asks = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         for r in table.to_pylist():
+            if r["block"] is not None:
+                out.append((r["block"], r["keys"], r["docs"], r["sums"]))
             if r["counts"] is not None:
                 words.append(unpack(r["words"]))
                 counts.append(np.frombuffer(zlib.decompress(r["counts"]), np.int64))
-            elif r["words"] is not None:
+            if r["asked"] is not None:
                 asks.append(r)
-            else:
-                out.append((r["block"], r["keys"], r["docs"], r["sums"]))
         u, which = np.unique(np.concatenate(words), return_inverse=True)
         logs = np.log(BACKOFF * np.bincount(which, np.concatenate(counts), len(u)) / max(total, 1))
-        for r in asks:
-            who, number = np.unique(np.frombuffer(r["docs"], np.uint16), return_inverse=True)
-            out.append((r["block"], None, who.tobytes(), np.bincount(number, logs[np.searchsorted(u, unpack(r["words"]))], len(who)).tobytes()))
-        return pa.Table.from_batches([batch_of(out, [("block", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary())])])
+        number: dict[bytes, int] = {}
+        keys, values, held = [], [], 0
+        for k, r in enumerate(asks):
+            blocks = [number.setdefault(r["asked_blocks"][i : i + 16], len(number)) for i in range(0, len(r["asked_blocks"]), 16)]
+            of = np.repeat(np.array(blocks, np.int64) << 16, np.frombuffer(r["asked_sizes"], np.uint32))
+            keys.append(of | np.frombuffer(r["asked_docs"], np.uint16))
+            values.append(logs[np.searchsorted(u, unpack(r["asked"]))])
+            held += len(of)
+            if held > SUMMED or k + 1 == len(asks):
+                who, place = np.unique(np.concatenate(keys), return_inverse=True)
+                sums = np.bincount(place, np.concatenate(values), len(who))
+                # What is summed so far counts half, so that it is sorted again seldom.
+                keys, values, held = [who], [sums], len(who) // 2
+        who, sums = (keys[0], values[0]) if asks else (np.zeros(0, np.int64), np.zeros(0))
+        names = list(number)
+        out += [(names[int(who[i] >> 16)], None, (who[i:j] & 65535).astype(np.uint16).tobytes(), sums[i:j].tobytes()) for i, j in runs_of(who >> 16)]
+        return pa.Table.from_batches([batch_of(out, SUMS)])
 
     return run
 
@@ -281,7 +326,7 @@ def scores(docs: DataFrame, s: Settings) -> DataFrame:
     """(text_key, logp) of each distinct text."""
     total, often, often_counts = totals(docs, s)
     shards = max(1, math.ceil(total / s.shard_pairs))
-    pairs = pair_blocks(docs, shards, often).groupBy("shard").applyInArrow(tidy_group(join_pairs(shards, often, often_counts)), WORDS_SCHEMA)
+    pairs = pair_blocks(docs, shards, often).groupBy("shard").applyInArrow(tidy_group(join_pairs(shards, total, often, often_counts)), WORDS_SCHEMA)
     sums = pairs.groupBy("shard").applyInArrow(tidy_group(join_words(total)), SUMS_SCHEMA).groupBy("block").applyInArrow(tidy_group(sum_block), "text_key binary, logp double")
     return sums.groupBy("text_key").agg(F.min("logp").alias("logp"))
 

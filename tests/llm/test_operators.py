@@ -399,7 +399,7 @@ def test_language_id_on_odd_tables(odd, none):
     assert langid.query(none).count() == 0
 
 
-@pytest.mark.parametrize("shard_pairs", [1_200_000, 3])
+@pytest.mark.parametrize("shard_pairs", [1_800_000, 3])
 def test_scores_against_brute_force(docs, shard_pairs):
     texts = ["the cat sat", "The cat ran", "the dog", "the the the the", "", None, "the cat sat"]
     got = lm.score(docs(list(enumerate(texts))).withColumn("logp", F.lit(1)), lm.Settings(shard_pairs=shard_pairs)).orderBy("doc_id").collect()
