@@ -228,41 +228,50 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
 
 def collections(docs: DataFrame, open_anchors: DataFrame, s: Settings) -> DataFrame:
     """(anchor, segment, offset, shard, bytes): the distinct segments of the given (anchor, segments), or their single windows."""
-    spark, length = docs.sparkSession, s.length
-    # Hot anchors have over most_segments segments each, so their number is bounded by the input over that.
-    hot = np.sort(np.array([r["anchor"] for r in open_anchors.filter(F.col("segments") > s.most_segments).select("anchor").toLocalIterator()], np.int64))
+    spark, length, most = docs.sparkSession, s.length, s.most_segments
     n = open_anchors.agg(F.sum("segments")).first()[0] or 0
     shards = max(1, math.ceil(n * 1.5 * length / s.shard_bytes))
-    bits = anchor_filter(open_anchors, s.filter_bytes)
-    sent = spark.sparkContext.broadcast((bits, hot))
+    sent = spark.sparkContext.broadcast(anchor_filter(open_anchors, s.filter_bytes))
 
     def run(batches):
-        wanted, hot = sent.value
         for batch in batches:
             for part in slices(batch):
                 data, at = K.utf8(part.column(0))
                 for _, _, x, x_at, _ in pieces(data, at, length):
                     h, first, n = anchors(x, x_at, length)
-                    k = np.flatnonzero(has(wanted, h))
+                    k = np.flatnonzero(has(sent.value, h))
                     rows, seen = [], set()
                     for key, a, m in zip(h[k].view(np.int64).tolist(), first[k].tolist(), n[k].tolist()):
                         seg = x[a : a + m + length - 1]
                         d = digest(seg)
-                        if (key, d) in seen:
-                            continue
-                        seen.add((key, d))
-                        i = int(np.searchsorted(hot, key))
-                        if i < len(hot) and hot[i] == key:
-                            for t in range(m):
-                                w = seg[t : t + length]
-                                rows.append((key, d, t, int.from_bytes(digest(w)[:4], "little") % shards, w.tobytes()))
-                        else:
-                            rows.append((key, d, -1, key % shards, seg.tobytes()))
-                    cols = list(zip(*rows)) if rows else [()] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()))], ["anchor", "segment", "offset", "shard", "bytes"])
-
-    got = docs.select("text").transform(arrow_map, run, "anchor long, segment binary, offset int, shard int, bytes binary")
-    return got.join(open_anchors.select("anchor"), "anchor", "left_semi").groupBy("anchor", "segment", "offset", "shard").agg(F.first("bytes").alias("bytes"))
+                        if (key, d) not in seen:
+                            seen.add((key, d))
+                            rows.append((key, d, seg.tobytes()))
+                    yield batch_of(rows, (pa.int64(), pa.binary(), pa.binary()), ["anchor", "segment", "bytes"])
+
+    def deal(batches):
+        """Segments to the shard of their anchor; those of an anchor of very many, window by window, to the shard of each window."""
+        for batch in batches:
+            rows = []
+            for key, d, seg, segments in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if segments <= most:
+                    rows.append((key, d, -1, key % shards, seg))
+                    continue
+                for t in range(len(seg) - length + 1):
+                    w = seg[t : t + length]
+                    rows.append((key, d, t, int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % shards, w))
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            for lo in range(0, max(len(rows), 1), 4_096):
+                yield batch_of(rows[lo : lo + 4_096], kinds, ["anchor", "segment", "offset", "shard", "bytes"])
+
+    found = docs.select("text").transform(arrow_map, run, "anchor long, segment binary, bytes binary").join(open_anchors, "anchor")
+    once = found.groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"), F.first("segments").alias("segments"))
+    return once.transform(arrow_map, deal, "anchor long, segment binary, offset int, shard int, bytes binary")
+
+
+def batch_of(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
 def anchor_filter(open_anchors: DataFrame, n_bytes: int) -> np.ndarray:
