@@ -42,6 +42,7 @@ LOW48 = np.uint64((1 << 48) - 1)
 BEFORE, BEHIND = 0, (1 << 48) - 1
 #: Scores of a shard that are held before they are summed for each text.
 SUMMED = 1 << 20
+MOST_PARTITIONS = 50_000
 
 
 @dataclass(frozen=True)
@@ -326,8 +327,11 @@ def scores(docs: DataFrame, s: Settings) -> DataFrame:
     """(text_key, logp) of each distinct text."""
     total, often, often_counts = totals(docs, s)
     shards = max(1, math.ceil(total / s.shard_pairs))
-    pairs = pair_blocks(docs, shards, often).groupBy("shard").applyInArrow(tidy_group(join_pairs(shards, total, often, often_counts)), WORDS_SCHEMA)
-    sums = pairs.groupBy("shard").applyInArrow(tidy_group(join_words(total)), SUMS_SCHEMA).groupBy("block").applyInArrow(tidy_group(sum_block), "text_key binary, logp double")
+    # As many partitions as shards, so that tasks stay as large as they are when the corpus grows.
+    parts = min(shards, MOST_PARTITIONS)
+    pairs = pair_blocks(docs, shards, often).repartition(parts, "shard").groupBy("shard").applyInArrow(tidy_group(join_pairs(shards, total, often, often_counts)), WORDS_SCHEMA)
+    sums = pairs.repartition(parts, "shard").groupBy("shard").applyInArrow(tidy_group(join_words(total)), SUMS_SCHEMA)
+    sums = sums.repartition(parts, "block").groupBy("block").applyInArrow(tidy_group(sum_block), "text_key binary, logp double")
     return sums.groupBy("text_key").agg(F.min("logp").alias("logp"))
 
 
