@@ -33,7 +33,24 @@ class FieldContract:
     @classmethod
     def of(cls, f: CompiledField) -> FieldContract:
         r = f.reference
-        return cls(f.name, f.label, f.aliases, f.required, f.has_default, stable_json(f.default), f.default_factory is not None, (f.parser.description or f.parser.name) if f.parser else None, f.policy, f.is_id, f.is_discriminator, f.dtype.simpleString(), f.parser is None or f.parser.native, r.target if r else None, bool(r and r.many), r.separator if r and r.many else None)
+        return cls(
+            name=f.name,
+            label=f.label,
+            aliases=f.aliases,
+            required=f.required,
+            has_default=f.has_default,
+            default=stable_json(f.default),
+            has_default_factory=f.default_factory is not None,
+            parser=(f.parser.description or f.parser.name) if f.parser else None,
+            empty=f.policy,
+            is_id=f.is_id,
+            is_discriminator=f.is_discriminator,
+            type=f.dtype.simpleString(),
+            native=f.parser is None or f.parser.native,
+            reference_target=r.target if r else None,
+            reference_many=bool(r and r.many),
+            reference_separator=r.separator if r and r.many else None,
+        )
 
 
 @dataclass(frozen=True)

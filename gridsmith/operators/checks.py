@@ -218,7 +218,12 @@ def run_record_hooks(df: DataFrame, c: Converted, hooks: dict[str | None, Plan],
                 values = decoded(r, fields, names)
                 source = source_of(r, fields)
                 record = cls._of(values, source, dict(r["_extras"] or [])) if cls else RecordView(values, source, dict(r["_extras"] or []))
-                wrap = lambda e, r=r, name=name: TableError(f"Record validation failed: {e}", schema=name, row=r["_row"], column=r["_column"], item_id=None if r["_item"] is None else json.loads(r["_item"]), source_uri=r["_uri"], code="record_validation_failed")
+                item = None if r["_item"] is None else json.loads(r["_item"])
+                at = {"schema": name, "row": r["_row"], "column": r["_column"], "item_id": item, "source_uri": r["_uri"]}
+
+                def wrap(e: Exception, at: dict = at) -> TableError:
+                    return TableError(f"Record validation failed: {e}", code="record_validation_failed", **at)
+
                 got, step = findings(lambda: hook(record, context), wrap, RECORD_HOOK)
                 rows = [to_row(d, D.VALIDATION, r["_ordinal"] or 0, step, i) for i, d in enumerate(got)]
                 out.append([dict(zip(D.DIAGNOSTIC.names, x)) for x in rows])

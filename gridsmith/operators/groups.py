@@ -1,7 +1,8 @@
 """Column-group expansion: a key row names how many logical columns each source column stands for.
 
-Rules are column functions, or plain Python functions, which run in Arrow batches. A range rule maps a key cell to struct<keys: array<string>, error: string, code: string>, a repeat rule
-maps a value cell and the number of keys to struct<values, error, code>. Every array is bounded before it is made.
+Rules are column functions, or plain Python functions, which run in Arrow batches. A range rule maps a key cell to
+struct<items: array<string>, error: string, code: string>, a repeat rule maps a value cell and the number of keys to the same. Every array is
+bounded before it is made.
 """
 
 from __future__ import annotations
@@ -55,7 +56,9 @@ class NumericRange:
             n, a, b = x["n"], x["a"], x["b"]
             fits = F.coalesce((n == 2) & (a <= b), F.lit(False))
             few = b - a < MOST_KEYS
-            error = F.when(n == 1, F.lit(None).cast("string")).when(~fits, F.concat(F.lit("Invalid numeric range: "), c)).when(~few, F.concat(F.lit(f"A numeric range stands for {MOST_KEYS} keys at most: "), c))
+            wrong = F.concat(F.lit("Invalid numeric range: "), c)
+            long = F.concat(F.lit(f"A numeric range stands for {MOST_KEYS} keys at most: "), c)
+            error = F.when(n == 1, F.lit(None).cast("string")).when(~fits, wrong).when(~few, long)
             spread = F.transform(F.sequence(F.when(fits & few, a).otherwise(0), F.when(fits & few, b).otherwise(0)), lambda k: k.cast("string"))
             return outcome(F.when(n == 1, F.array(c)).otherwise(spread), error, F.when(fits, "expansion_limit").otherwise("transform_failed"))
 
@@ -86,7 +89,9 @@ class AlphabeticRange:
 def repeated(c: Column, n: Column, count_text: Column, value: Column, found: Column) -> Column:
     """Copies of value if its count is the group's size; the cell as it is, for every key, where no count was found."""
     count = count_text.try_cast("int")
-    error = F.when(found & (value == ""), F.concat(F.lit("A repeated value must not be empty: "), c)).when(found & ~F.coalesce(count == n, F.lit(False)), F.concat(F.lit("The count differs from the group's size: "), c))
+    empty = F.concat(F.lit("A repeated value must not be empty: "), c)
+    other = F.concat(F.lit("The count differs from the group's size: "), c)
+    error = F.when(found & (value == ""), empty).when(found & ~F.coalesce(count == n, F.lit(False)), other)
     return outcome(F.array_repeat(F.when(found, value).otherwise(c), n), error)
 
 
@@ -210,13 +215,15 @@ class ColumnGroupExpander:
         groups = keys.filter("col_idx > 1").select("table_id", "col_idx", F.struct(*COLUMNS[3:]).alias("cell"), range_rule.expand(F.col("value")).alias("e"))
         opened = groups.select("table_id", "col_idx", F.col("e.items").alias("keys"))
         values = df.filter("row_idx > 1 AND col_idx > 1").join(opened, ["table_id", "col_idx"])
-        spread = values.select("table_id", "row_idx", "col_idx", F.struct(*COLUMNS[3:]).alias("cell"), repeat_rule.expand(F.col("value"), F.size("keys")).alias("e"), F.size("keys").alias("n"))
+        n = F.size("keys")
+        spread = values.select("table_id", "row_idx", "col_idx", F.struct(*COLUMNS[3:]).alias("cell"), repeat_rule.expand(F.col("value"), n).alias("e"), n.alias("n"))
         uneven = F.struct(F.col("e.items").alias("items"), F.lit("A repeat rule must give one value for each key").alias("error"), F.lit("invalid_transform").alias("code"))
         spread = spread.withColumn("e", F.when(F.col("e.error").isNotNull() | (F.size("e.items") == F.col("n")), F.col("e")).otherwise(uneven))
         self.raise_first(df, keys, groups, spread, fail)
         groups = opened
         # Where each source column's logical columns begin: a window over the key rows only.
-        before = groups.select("table_id", "col_idx", (F.sum(F.size("keys")).over(Window.partitionBy("table_id").orderBy("col_idx").rowsBetween(Window.unboundedPreceding, -1))).alias("b"))
+        ahead = Window.partitionBy("table_id").orderBy("col_idx").rowsBetween(Window.unboundedPreceding, -1)
+        before = groups.select("table_id", "col_idx", F.sum(F.size("keys")).over(ahead).alias("b"))
         before = before.select("table_id", "col_idx", F.coalesce("b", F.lit(0)).cast("int").alias("b"))
         key_cells = keys.filter("col_idx > 1").join(groups, ["table_id", "col_idx"]).join(before, ["table_id", "col_idx"])
         out_keys = self.dealt(key_cells.withColumn("items", F.col("keys")))
@@ -246,7 +253,8 @@ class ColumnGroupExpander:
         found = found.unionByName(problem(2, wrong_head, F.lit(f"The first row must be {self.key_label!r}"), F.lit("invalid_transform"), [F.col(n) for n in nothing]))
         for rank, frame in ((3, groups), (4, spread)):
             found = found.unionByName(problem(rank, frame.filter(F.col("e.error").isNotNull()), F.col("e.error"), F.col("e.code"), cell))
-        any_cell = df.limit(1).select(F.lit(9).alias("rank"), F.lit("").alias("table_id"), F.lit(0).alias("col_idx"), F.lit("").alias("error"), F.lit("").alias("code"), *(F.lit(None).cast(t).alias(n) for n, t in nothing.items()))
+        none = [F.lit(None).cast(t).alias(n) for n, t in nothing.items()]
+        any_cell = problem(9, df.limit(1), F.lit(""), F.lit(""), none)
         got = found.unionByName(any_cell).orderBy("rank", "table_id", "source_row", "col_idx").limit(1).collect()
         if not got:
             raise fail("The table has no rows", "table_empty")

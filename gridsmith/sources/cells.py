@@ -117,7 +117,15 @@ class CellFrame:
         body = df.select((F.col(f"`{ordinal}`").cast("int") + 1).alias("row_idx"), F.explode(cells).alias("c")).select("row_idx", F.col("c.j").alias("col_idx"), F.col("c.v").alias("value"))
         head = df.sparkSession.createDataFrame([(1, j, c) for j, c in enumerate(labels, 1)], "row_idx int, col_idx int, value string")
         both = head.unionByName(body)
-        return cls(both.select(F.lit(table_id).alias("table_id"), "row_idx", "col_idx", F.coalesce("value", F.lit("")).alias("value"), F.col("row_idx").alias("source_row"), F.col("col_idx").alias("source_column"), F.col("value").alias("source_value"), F.lit(uri).cast("string").alias("source_uri")), None, uri)
+        own = {
+            "table_id": F.lit(table_id),
+            "source_row": F.col("row_idx"),
+            "source_column": F.col("col_idx"),
+            "source_value": F.col("value"),
+            "source_uri": F.lit(uri).cast("string"),
+            "value": F.coalesce("value", F.lit("")),
+        }
+        return cls(both.withColumns(own).select(*COLUMNS), None, uri)
 
     @classmethod
     def ensure(cls, table: Any, **options: Any) -> CellFrame:
@@ -166,4 +174,13 @@ def read_tables(spark: SparkSession, paths: Any, *, separator: str = ",") -> Cel
     # A file is one table and one ordered thing; its lines are numbered by their place within it.
     numbered = lines.withColumn("id", F.monotonically_increasing_id()).withColumn("row_idx", F.row_number().over(Window.partitionBy("uri").orderBy("at", "id")))
     cells = numbered.select("uri", "row_idx", F.posexplode(F.split("value", "\\Q" + separator + "\\E", -1)).alias("p", "value"))
-    return CellFrame(cells.select(F.col("uri").alias("table_id"), "row_idx", (F.col("p") + 1).alias("col_idx"), "value", F.col("row_idx").alias("source_row"), (F.col("p") + 1).alias("source_column"), F.col("value").alias("source_value"), F.col("uri").alias("source_uri")))
+    place = F.col("p") + 1
+    own = {
+        "table_id": F.col("uri"),
+        "col_idx": place,
+        "source_row": F.col("row_idx"),
+        "source_column": place,
+        "source_value": F.col("value"),
+        "source_uri": F.col("uri"),
+    }
+    return CellFrame(cells.withColumns(own).select(*COLUMNS))
