@@ -44,9 +44,32 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    for held in _scopes:
+        held.append(out)
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written inside, but for those given to what it yields; for work that is done when it ends."""
+    held: list[DataFrame] = []
+    kept: set[str] = set()
+    _scopes.append(held)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_to)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(held)
+        drop_tables(*(t for t in held if t.written_to not in kept))
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Deletes what write_table() wrote, once all that was made of it is written too."""
     for t in tables:
