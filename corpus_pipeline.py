@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.llm import decontam, langid, line_dedup, minhash, pieces
-from gridsmith.llm.common import read_documents, write_table
+from gridsmith.llm.common import drop_tables, read_documents, scratch, write_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir)
+    docs, before = read_documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
+        # What a stage writes on its way goes when its result is written, and so does the result it began with.
+        with scratch() as keep:
+            docs = keep(write_table(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            drop_tables(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
