@@ -3,9 +3,11 @@
 Every byte covered by a string of `length` bytes that also starts anywhere else, same document included, is removed. Strings are
 judged on the input; matches never cross documents; texts are UTF-8 bytes, a null text is empty.
 
-1. Every window of `length` bytes has an anchor: its substring of K_BYTES bytes with the least hash, the leftmost of equals. Equal
-   windows have equal anchors. Windows of one anchor occurrence are consecutive and make up a segment. Two Bloom filters tell
-   which anchors may occur twice; only their segments are looked at. That decides nothing: repeated anchors are never missed.
+1. Every window of `length` bytes has an anchor: its substring of anchor_bytes(length) bytes with the least hash, the leftmost of
+   equals. Equal windows have equal anchors. Windows of one anchor occurrence are consecutive and make up a segment. Hashes of all
+   anchors are counted, 4 bytes for each, in KEYS groups; a Bloom filter of those seen twice, as large as their number asks for,
+   tells which segments are looked at. That decides nothing: repeated anchors are never missed. Anchors are long, since short ones
+   have more different segments, which all have to be compared.
 2. A segment that occurs twice in all is repeated as a whole. Where an anchor has several segments and one of them occurs once,
    each distinct segment is a document of a collection. Collections are shards of whole anchors.
 3. In a collection the suffixes of all documents are sorted by insertion: each round puts one symbol in front of every document's
@@ -35,20 +37,25 @@ from pyspark.sql import types as T
 
 from . import textkit as K
 from .common import arrow_map, drop_tables, fresh, let_go, map_texts, slices, tidy_group, write_table
-from .line_dedup import has, twice_seen
+from .line_dedup import BLOCK, has, put
 
 SYMBOL = 50
 LOW = (1 << 32) - 1
 K_BYTES = 16
-#: Bytes of a text that are looked at at once; longer texts are read in pieces that overlap by a window.
-PIECE = 1 << 20
+#: Groups in which hashes of anchors are counted: 8 bits of a key are its group, 32 are sent.
+KEYS = 256
+#: Anchors whose keys a task holds at most before it sends them.
+MOST_KEYS = 1 << 20
+#: Bytes of a text that are looked at at once, few enough for a core's cache; longer texts are read in pieces that overlap by a window.
+PIECE = 1 << 17
 
 
 @dataclass(frozen=True)
 class Settings:
     #: Bytes of a passage; a multiple of SYMBOL, more than K_BYTES.
     length: int = 200
-    filter_bytes: int = 16 << 20
+    #: Bytes of a filter at most; it has two for each anchor put in. Beyond that more segments are looked at, and results stay.
+    filter_bytes: int = 64 << 20
     shard_bytes: int = 2 << 20
     most_segments: int = 20_000
 
@@ -57,18 +64,28 @@ def digest(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
+def anchor_bytes(length: int) -> int:
+    return max(K_BYTES, length * 2 // 5)
+
+
+def anchor_keys(h: np.ndarray) -> np.ndarray:
+    """40 bits of each anchor's hash, by which it is counted; hashes of anchors are low ones, so they are mixed first."""
+    return K.mix(h) >> np.uint64(24)
+
+
 def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, windows) of every anchor occurrence in rows of bytes; windows are counted by their first byte."""
     none = np.zeros(0, np.int64)
-    n, w = len(data), length - K_BYTES + 1
+    n, k = len(data), anchor_bytes(length)
+    w = length - k + 1
     if n < length:
         return np.zeros(0, np.uint64), none, none
     sums = K.prefix_sums(data)
-    m = n - K_BYTES + 1
-    h = (sums[K_BYTES:] - sums[:-K_BYTES]) * K.powers(n + 1)[1][:m]
+    m = n - k + 1
+    h = (sums[k:] - sums[:-k]) * K.powers(n + 1)[1][:m]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(max(21, int(n).bit_length()))  # the same in pieces of all sizes, for windows to have equal anchors
     low = (h >> bits << bits) | np.arange(m, dtype=np.uint64)  # the place breaks ties and is found again
     size = 1
     while size * 2 <= w:
@@ -187,16 +204,48 @@ def runs(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
 
 
+def repeated_keys(docs: DataFrame, s: Settings) -> DataFrame:
+    """(key): keys of the anchors that occur twice."""
+    low = np.uint64(LOW)
+
+    def rows_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(np.concatenate(held))
+        # More than two of one kind tell no more than two.
+        more = np.ones(len(x), bool)
+        more[2:] = x[2:] != x[:-2]
+        x = x[more]
+        edge = np.searchsorted(x, np.arange(KEYS + 1, dtype=np.uint64) << np.uint64(32))
+        rows = [(i, (x[a:b] & low).astype(np.uint32).tobytes()) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if a < b]
+        return batch_of(rows, (pa.int32(), pa.binary()), ["part", "keys"])
+
+    def run(batches):
+        held, n = [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for part in slices(batch):
+                data, at = K.utf8(part.column(0))
+                for _, _, x, x_at, _ in pieces(data, at, s.length):
+                    held.append(anchor_keys(anchors(x, x_at, s.length)[0]))
+                    n += len(held[-1])
+                    if n >= MOST_KEYS:
+                        yield rows_of(held)
+                        held, n = [np.zeros(0, np.uint64)], 0
+        yield rows_of(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        x = np.sort(np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint32))
+        twice = np.unique(x[1:][x[1:] == x[:-1]]).astype(np.int64)
+        return pa.table({"key": twice + (table["part"][0].as_py() << 32)})
+
+    sent = docs.select("text").transform(arrow_map, run, "part int, keys binary")
+    return write_table(sent.groupBy("part").applyInArrow(tidy_group(count), "key long"), "keys")
+
+
 def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
     """(anchor, segment, text_key, start, windows, n): places of segments whose anchor may occur twice, n times in rows of the text."""
     length = s.length
-
-    def hashes(batch):
-        data, at = K.utf8(batch.column(0))
-        got = [anchors(x, x_at, length)[0] for _, _, x, x_at, _ in pieces(data, at, length)]
-        return np.concatenate(got) if got else np.zeros(0, np.uint64)
-
-    sent = docs.sparkSession.sparkContext.broadcast(twice_seen(docs.select("text"), hashes, s.filter_bytes))
+    keys = repeated_keys(docs, s)
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(keys, keys.count(), s.filter_bytes))
+    drop_tables(keys)
 
     def run(batches):
         for batch in batches:
@@ -205,7 +254,7 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
                 keys: dict[int, bytes] = {}
                 for lo, _, x, x_at, base in pieces(data, at, length):
                     h, first, n = anchors(x, x_at, length)
-                    k = np.flatnonzero(has(sent.value, h))
+                    k = np.flatnonzero(has(sent.value, anchor_keys(h)))
                     row = np.searchsorted(x_at, first[k], "right") - 1
                     for r in np.unique(row).tolist():
                         if lo + r not in keys:
@@ -229,18 +278,19 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
 def collections(docs: DataFrame, open_anchors: DataFrame, s: Settings) -> DataFrame:
     """(anchor, segment, offset, shard, bytes): the distinct segments of the given (anchor, segments), or their single windows."""
     spark, length, most = docs.sparkSession, s.length, s.most_segments
-    n = open_anchors.agg(F.sum("segments")).first()[0] or 0
-    shards = max(1, math.ceil(n * 1.5 * length / s.shard_bytes))
-    sent = spark.sparkContext.broadcast(anchor_filter(open_anchors, s.filter_bytes))
+    n_anchors, n = open_anchors.agg(F.count("*"), F.sum("segments")).first()
+    shards = max(1, math.ceil((n or 0) * 1.5 * length / s.shard_bytes))
+    sent = spark.sparkContext.broadcast(key_filter(open_anchors.select("anchor"), n_anchors, s.filter_bytes))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 data, at = K.utf8(part.column(0))
+                seen = set()
                 for _, _, x, x_at, _ in pieces(data, at, length):
                     h, first, n = anchors(x, x_at, length)
                     k = np.flatnonzero(has(sent.value, h))
-                    rows, seen = [], set()
+                    rows = []
                     for key, a, m in zip(h[k].view(np.int64).tolist(), first[k].tolist(), n[k].tolist()):
                         seg = x[a : a + m + length - 1]
                         d = digest(seg)
@@ -274,19 +324,20 @@ def batch_of(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
-def anchor_filter(open_anchors: DataFrame, n_bytes: int) -> np.ndarray:
-    from .line_dedup import put
+def key_filter(keys: DataFrame, n: int, most_bytes: int) -> np.ndarray:
+    """A Bloom filter of the n longs of keys, in two bytes for each, most_bytes at most."""
+    n_bytes = max(BLOCK, min(-(-2 * n // BLOCK) * BLOCK, most_bytes // BLOCK * BLOCK))
 
     def run(batches):
         own = np.zeros(n_bytes, np.uint8)
         for batch in batches:
             put(own, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        block = 1 << 16
-        got = [(i, own[i : i + block].tobytes()) for i in range(0, n_bytes, block) if own[i : i + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["at", "bits"])
+        for i in range(0, n_bytes, BLOCK):
+            if own[i : i + BLOCK].any():
+                yield batch_of([(i, own[i : i + BLOCK].tobytes())], (pa.int64(), pa.binary()), ["at", "bits"])
 
     bits = np.zeros(n_bytes, np.uint8)
-    for r in open_anchors.select("anchor").coalesce(8).transform(arrow_map, run, "at long, bits binary").toLocalIterator():
+    for r in keys.coalesce(8).transform(arrow_map, run, "at long, bits binary").toLocalIterator():
         bits[r["at"] : r["at"] + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 

@@ -140,6 +140,20 @@ def test_repeats_against_brute_force(spark, docs, most_segments):
     assert [tuple(r)[1:] for r in got] == brute_repeats([(t or "").encode() for t in texts], 200)
 
 
+def test_strings_of_a_few_words_choose_no_segments(docs):
+    """Every string of 16 bytes over two letters occurs several times here, one passage of 300 bytes does so too."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("ab"), n))
+    passage = letters(300)
+    texts = [letters(4_000) + ({3: "c", 50: "d"}[i] + passage if i in (3, 50) else "") for i in range(100)]
+    table = docs(list(enumerate(texts)))
+    assert 0 < suffix_dedup.occurrences(table, suffix_dedup.Settings()).count() < 100
+    # A filter that is far too small lets more through, and changes nothing.
+    for filter_bytes in (1 << 14, 64 << 20):
+        got = suffix_dedup.query(table, suffix_dedup.Settings(filter_bytes=filter_bytes)).orderBy("doc_id").collect()
+        assert [r["n_removed"] for r in got] == [300 * (i in (3, 50)) for i in range(100)]
+
+
 def test_repeats_in_long_texts_are_read_in_pieces(docs, monkeypatch):
     rng = np.random.default_rng(5)
     long = "".join(rng.choice(list("abcdefgh "), 9_000))
