@@ -17,8 +17,8 @@ judged on the input; matches never cross documents; texts are UTF-8 bytes, a nul
    repeated if its suffix shares length/SYMBOL symbols with a neighbour. Wide symbols keep the rounds few, each of which goes
    through the whole order so far.
    The columns of a collection are arrays in memory: shards are bounded by shard_bytes, so nothing goes to files.
-4. An anchor of more than most_segments distinct segments is cut into single windows, dealt by their content, so that no shard
-   grows with the number of copies.
+4. An anchor of more than most_segments distinct segments, or of more than about two shards' bytes, is cut into single windows,
+   dealt by their content, so that no shard grows with the number of copies.
 
 Results are found for each distinct text and joined to its rows. Other columns are kept; columns of the names added are replaced.
 """
@@ -56,7 +56,7 @@ class Settings:
     length: int = 200
     #: Bytes of a filter at most; it has two for each anchor put in. Beyond that more segments are looked at, and results stay.
     filter_bytes: int = 64 << 20
-    shard_bytes: int = 2 << 20
+    shard_bytes: int = 1 << 20
     most_segments: int = 20_000
 
 
@@ -277,9 +277,12 @@ def occurrences(docs: DataFrame, s: Settings) -> DataFrame:
 
 def collections(docs: DataFrame, open_anchors: DataFrame, s: Settings) -> DataFrame:
     """(anchor, segment, offset, shard, bytes): the distinct segments of the given (anchor, segments), or their single windows."""
-    spark, length, most = docs.sparkSession, s.length, s.most_segments
-    n_anchors, n = open_anchors.agg(F.count("*"), F.sum("segments")).first()
-    shards = max(1, math.ceil((n or 0) * 1.5 * length / s.shard_bytes))
+    spark, length = docs.sparkSession, s.length
+    most = min(s.most_segments, 2 * s.shard_bytes // length)
+    # A segment that is cut into windows takes the bytes of all of them: half as many as it may have, on average.
+    windows = (length - anchor_bytes(length) + 1) / 2
+    n_anchors, n = open_anchors.agg(F.count("*"), F.sum(F.when(F.col("segments") > most, F.col("segments") * windows).otherwise(F.col("segments") * 1.5))).first()
+    shards = max(1, math.ceil((n or 0) * length / s.shard_bytes))
     sent = spark.sparkContext.broadcast(key_filter(open_anchors.select("anchor"), n_anchors, s.filter_bytes))
 
     def run(batches):

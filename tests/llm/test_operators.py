@@ -154,6 +154,23 @@ def test_strings_of_a_few_words_choose_no_segments(docs):
         assert [r["n_removed"] for r in got] == [300 * (i in (3, 50)) for i in range(100)]
 
 
+def test_shards_are_bounded_whatever_repeats(docs):
+    """A passage of 150 bytes in 600 different texts: an anchor of hundreds of segments, 30 KB a shard."""
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, s = letters(150), suffix_dedup.Settings(shard_bytes=30_000)
+    texts = [letters(250) + passage + letters(250) for _ in range(600)]
+    table = docs(list(enumerate(texts)))
+    places = suffix_dedup.occurrences(table, s)
+    opened = places.groupBy("anchor").agg(F.countDistinct("segment").alias("segments")).filter("segments > 1")
+    assert opened.agg(F.max("segments")).first()[0] > 300
+    by_shard = suffix_dedup.collections(table, opened, s).groupBy("shard").agg(F.sum(F.length("bytes")).alias("n"))
+    assert by_shard.agg(F.max("n")).first()[0] < 3 * s.shard_bytes
+    texts += [texts[7], texts[8][20:500]]
+    got = suffix_dedup.query(docs(list(enumerate(texts))), s).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats([t.encode() for t in texts], 200)
+
+
 def test_repeats_in_long_texts_are_read_in_pieces(docs, monkeypatch):
     rng = np.random.default_rng(5)
     long = "".join(rng.choice(list("abcdefgh "), 9_000))
